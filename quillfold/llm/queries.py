@@ -17,11 +17,17 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_checks(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "verified")
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"), words=2, similarity=0.8)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(_read(spark, sf_dir, "documents")).placed
 
 
-QUERIES = {f.__name__: f for f in (op2_token_store, op9_packing)}
+QUERIES = {f.__name__: f for f in (op2_token_store, op8_minhash, op9_packing)}
 ORACLE: dict[str, str] = {}
