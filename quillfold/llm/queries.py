@@ -6,6 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+from .decontaminate import ORACLE as DECONTAMINATE_SQL
+
+WARC_SQL = """
+SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+  CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id <> least_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id <> least_id THEN least_id END AS refers_to
+FROM (SELECT *, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS least_id FROM pages)
+"""
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -17,6 +27,34 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_checks(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "verified")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import digest, find_contamination
+
+    return digest(find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digest, scan
+
+    return digest(scan(_read(spark, sf_dir, "documents")))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, held_out, predict
+
+    docs = _read(spark, sf_dir, "documents")
+    model = fit(docs.where(~held_out("doc_id")))
+    out = predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_chunks, records, write_archive
+
+    found = records(read_chunks(spark, write_archive(_read(spark, sf_dir, "pages")), payloads=False))
+    return found.select(F.expr("try_cast(record_id AS BIGINT)").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.expr("try_cast(refers_to AS BIGINT)").alias("refers_to"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -29,5 +67,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents")).placed
 
 
-QUERIES = {f.__name__: f for f in (op2_token_store, op8_minhash, op9_packing)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_token_store, op3_decontaminate, op5_secrets, op6_language_id, op7_warc, op8_minhash, op9_packing)}
+ORACLE: dict[str, str] = {"op3_decontaminate": DECONTAMINATE_SQL, "op7_warc": WARC_SQL}
