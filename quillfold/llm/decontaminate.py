@@ -58,8 +58,8 @@ def _hash(longest: int, width: int) -> Column:
     return F.xxhash64(F.lit(width), *(F.col(f"at.{k}") for k in range(width)))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shingle: int = 3) -> DataFrame:
-    """doc_id, text_key, n_words, n_hit, spans (start, end of each occurrence, in words), items (sorted): a row for each document."""
+def hits_by_document(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shingle: int = 3) -> DataFrame:
+    """doc_id, text_key, n_hit, spans (start, end of each occurrence, in words), items (sorted): documents with hits only."""
     grams = spool(benchmark_windows(benchmark, item_col, item_text_col, window))
     # At most ``shingle`` distinct widths: shorter ones only where the benchmark has windows so short.
     widths = sorted(r["k"] for r in grams.select(F.least("n", F.lit(shingle)).alias("k")).distinct().collect()) or [shingle]
@@ -73,8 +73,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         key = F.when(F.col("k") == k, _hash(longest, k)).otherwise(key)
     at = spool(at.select("gram", "n", "items", "off", key.alias("key")))
 
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    split = base.select("doc_id", F.xxhash64("text").alias("text_key"), words_of("text").alias("w"))
+    split = _split(docs, id_col, text_col)
     rows = split.select("doc_id", "text_key", "w", _keys("w", widths))
     if len(widths) == 1:
         probes = rows.withColumn("key", _hash(longest, longest))
@@ -95,12 +94,32 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     spans = F.array_sort(F.array_distinct(F.transform("found", lambda x: F.struct(x["start"], x["end"]))))
     # A word is hit once: a stretch counts from the end of what is already covered.
     covered = F.aggregate(spans, F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n")), lambda acc, x: F.struct(F.greatest(acc["to"], x["end"]).alias("to"), (acc["n"] + F.greatest(x["end"] - F.greatest(acc["to"], x["start"]), F.lit(0))).alias("n")), lambda acc: acc["n"])
-    per_doc = per_doc.select("doc_id", "text_key", spans.alias("spans"), covered.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda x: x["items"])))).alias("items"))
-    sized = split.select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"))
-    both = sized.alias("d").join(per_doc.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & F.col("d.text_key").eqNullSafe(F.col("h.text_key")), "left")
+    return per_doc.select("doc_id", "text_key", spans.alias("spans"), covered.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda x: x["items"])))).alias("items"))
+
+
+def text_key(text: Column) -> Column:
+    """Tells rows that share a doc_id apart."""
+    return F.coalesce(F.xxhash64(text), F.lit(0))
+
+
+def _split(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", text_key(F.col("text")).alias("text_key"), words_of("text").alias("w"))
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """doc_id, text_key, n_words, n_hit, spans, items: a row for each document. Options are those of ``hits_by_document``."""
+    per_doc = hits_by_document(docs, benchmark, id_col, text_col, **options)
+    sized = _split(docs, id_col, text_col).select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"))
+    both = sized.alias("d").join(per_doc.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.text_key") == F.col("h.text_key")), "left")
     return both.select("d.doc_id", "d.text_key", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows, all columns, in which no window occurs."""
+    hit = spool(hits_by_document(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")))
+    return docs.join(_small(hit), docs[id_col].eqNullSafe(F.col("hit_id")) & (text_key(docs[text_col]) == F.col("hit_key")), "left_anti")
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns."""
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -236,3 +236,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = signed.select("doc_id", "n_shingles").join(found, signed["doc_id"] == found["node"], "left")
     component = F.coalesce(F.col("root"), F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows, all columns, of one document of each group: that with the least id, once."""
+    found = spool(near_duplicates(docs, id_col, text_col, words, similarity).select("doc_id", "kept"))
+    gone = found.where("NOT kept").select("doc_id").distinct()
+    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, docs[id_col] == gone["doc_id"], "left_anti")
+    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again"))
+    if again.isEmpty():
+        return out
+    once = out.join(again, out[id_col] == again["again"], "left_semi").dropDuplicates([id_col])
+    return out.join(again, out[id_col] == again["again"], "left_anti").unionByName(once)
