@@ -14,13 +14,16 @@ pieces longer than ``MEMO_CHARS``, are encoded afresh.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 import numpy as np
 
-MEMO_PIECES = 700_000
+MEMO_PIECES = 1_200_000
 MEMO_CHARS = 48
 _ENCODERS: dict[tuple, "Encoder"] = {}
+#: Letters, marks and perhaps a line end, letters: cuts of both tokenizers. Apostrophes are left out, as contractions differ.
+_COMPOUND = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?%*$#&()\[\]\"/@+=<>-]+\n?|\n)([A-Za-zÀ-ÖØ-öø-ɏ]+)?")
 _SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
 
 
@@ -36,7 +39,11 @@ class Encoder:
         self.lead = " " if keep_space else ""
         self.memo: dict[str, bytes] = {}
         self.bound = memo_pieces
-        self.bar = self.tokenizer.encode(" |", add_special_tokens=False).ids[-1]
+        self.bare: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Which ids begin a word (with its space), or end one.
+        self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.edge[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if keep_space else t.endswith("</w>"))]] = True
         if not keep_space:
             self.memo[""] = b""
 
@@ -56,17 +63,17 @@ class Encoder:
         return glued[0], glued[1:]
 
     def _fresh(self, pieces: set[str], lead: str) -> dict[str, bytes]:
-        """Encodings of new pieces: many in one call, a bar between them, where no piece holds a bar or white space."""
-        plain = [p for p in pieces if "|" not in p and p.isprintable() and " " not in p and p] if lead == self.lead else []
+        """Encodings of new pieces. Those of letters alone are one pre-token each, so many go in one call."""
+        plain = [p for p in pieces if p.isalpha()] if lead == self.lead else []
         out = {}
-        for k in range(0, len(plain), 512):
-            part = plain[k : k + 512]
-            (e,) = self.tokenizer.encode_batch_fast([lead + f" |{lead or ' '}".join(part)], add_special_tokens=False)
+        for k in range(0, len(plain), 1024):
+            part = plain[k : k + 1024]
+            (e,) = self.tokenizer.encode_batch_fast([lead + " ".join(part)], add_special_tokens=False)
             ids = np.array(e.ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.bar)
-            if len(ends) == len(part) - 1:
-                data, at = ids.tobytes(), [-4, *(4 * ends).tolist(), 4 * len(ids)]
-                out.update((p, data[at[i] + 4 : at[i + 1]]) for i, p in enumerate(part))
+            edges, data = np.flatnonzero(self.edge[ids]), ids.tobytes()
+            if len(edges) == len(part):
+                at = [*(4 * edges).tolist(), len(data)] if lead else [0, *(4 * edges + 4).tolist()]
+                out.update((p, data[at[i] : at[i + 1]]) for i, p in enumerate(part))
         order = list(pieces.difference(out))
         for k in range(0, len(order), 2048):
             part = order[k : k + 2048]
@@ -74,18 +81,41 @@ class Encoder:
                 out[p] = array("I", e.ids).tobytes()
         return out
 
+    def _resolve(self, pieces: set[str]) -> dict[str, bytes]:
+        """Encodings of pieces that the memo lacks. A word with punctuation is put together from its parts."""
+        memo, lead = self.memo, self.lead
+        split = {p: m.groups("") for p in pieces if not p.isalpha() and (m := _COMPOUND.fullmatch(p))}
+        heads, tails = {m[0] for m in split.values()}, {x for m in split.values() for x in m[1:] if x}
+        words = {p for p in pieces if p not in split} | {h for h in heads if h not in memo}
+        if not lead:  # this tokenizer lowers text and drops white space, so a part has one encoding wherever it stands
+            words |= {t for t in tails if t not in memo}
+            bare = memo
+        else:
+            bare = self.bare
+            bare.update(self._fresh({t for t in tails if t not in bare}, ""))
+            if len(bare) > self.bound // 4:
+                self.bare = {}
+        fresh = self._fresh(words, lead)
+        word = lambda x: b if (b := fresh.get(x)) is not None else memo[x]
+        part = word if bare is memo else bare.__getitem__
+        for p, (head, mark, tail) in split.items():
+            fresh[p] = word(head) + part(mark) + (part(tail) if tail else b"")
+        return fresh
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        memo, get = self.memo, self.memo.get
         cut = [self._cut(t) if t else ("", []) for t in texts]
-        memo = self.memo
-        missing = set().union(*(rest for _, rest in cut)).difference(memo)
         firsts = self._fresh({first for first, _ in cut if first}, "")
         firsts[""] = b""
-        if not missing:
-            return [firsts[first] + b"".join([memo[p] for p in rest]) for first, rest in cut]
-        fresh = self._fresh(missing, self.lead)
-        if len(memo) < self.bound:
-            memo.update((p, b) for p, b in fresh.items() if len(p) <= MEMO_CHARS)
-        return [firsts[first] + b"".join([memo[p] if p in memo else fresh[p] for p in rest]) for first, rest in cut]
+        found = [list(map(get, rest)) for _, rest in cut]
+        gaps = [[i for i, b in enumerate(row) if b is None] if None in row else () for row in found]
+        fresh = self._resolve({rest[i] for (_, rest), at in zip(cut, gaps) for i in at})
+        for (_, rest), row, at in zip(cut, found, gaps):
+            for i in at:
+                row[i] = fresh[rest[i]]
+        if fresh and len(memo) < self.bound:
+            memo.update(fresh if max(map(len, fresh)) <= MEMO_CHARS else {p: b for p, b in fresh.items() if len(p) <= MEMO_CHARS})
+        return [firsts[first] + b"".join(row) for (first, _), row in zip(cut, found)]
 
 
 def encoder(path: str, keep_space: bool) -> Encoder:

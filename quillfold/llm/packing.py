@@ -39,7 +39,7 @@ class Packed:
     placed: DataFrame
 
 
-def cut_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, capacity: int = 2048, grain: int = 4) -> DataFrame:
+def cut_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, capacity: int = 2048, grain: int = 16) -> DataFrame:
     """doc_id, start, length, doc_tokens, cls, part, rank, ids: rank numbers the pieces of a class within an input partition."""
     key_type = docs.schema[id_col].dataType.simpleString()
 
@@ -162,7 +162,7 @@ def lay_out(lengths: dict[int, int], capacity: int, grain: int) -> list[tuple[in
     return rows
 
 
-def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, capacity: int = 2048, grain: int = 4) -> Packed:
+def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, capacity: int = 2048, grain: int = 16) -> Packed:
     """Pack all documents into sequences of at most ``capacity`` ids.
 
     ``placed`` has doc_id, start, length, doc_tokens, ids_crc32, sequence_id, offset.
