@@ -1,8 +1,15 @@
 """All registered queries of the engine's own operators, with their DuckDB oracles."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    return QUERIES["deid_risk_overview"](spark, sf_dir)
+from . import privacy_queries  # noqa: F401
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "flagship"]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest whole path: load, aggregate, report."""
+    return QUERIES["kanon_report"](spark, sf_dir)
