@@ -21,7 +21,7 @@ def _digit_array(c: Column) -> Column:
 def luhn(c: Column | str) -> Column:
     """Luhn checksum over the digits; false without digits."""
     d = digits_of(c)
-    return F.when(F.length(d) > 0, F.luhn_check(d)).when(d.isNotNull(), F.lit(False))
+    return F.when(F.length(d) > 0, F.call_function("luhn_check", d)).when(d.isNotNull(), F.lit(False))
 
 
 def card(c: Column | str) -> Column:
@@ -32,7 +32,7 @@ def card(c: Column | str) -> Column:
 def npi(c: Column | str) -> Column:
     """Ten digits whose Luhn checksum holds with the health prefix before them."""
     d = digits_of(c)
-    return (F.length(d) == 10) & F.luhn_check(F.concat(F.lit("80840"), F.when(F.length(d) > 0, d).otherwise("1")))
+    return (F.length(d) == 10) & F.call_function("luhn_check", F.concat(F.lit("80840"), F.when(F.length(d) > 0, d).otherwise("1")))
 
 
 def ssn(c: Column | str) -> Column:
