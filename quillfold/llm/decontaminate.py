@@ -87,10 +87,17 @@ def hits_by_document(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
     prefix = rarest.groupBy("p.key").agg(F.collect_list(F.struct("p.off", "p.n", "p.items", "gram")).alias("found"))
     prefix = spool(prefix)
 
+    few = prefix.count() <= BROADCAST_ROWS
+    # Within one stage a row may refer to its whole document; before a shuffle it takes along only the words around it.
+    low = F.lit(0) if few else F.greatest(F.col("pos") - window, F.lit(0))
+    near = F.col("w") if few else F.slice("w", low + 1, 2 * window + 1)
+    placed = probes.select("doc_id", "text_key", "pos", "key", F.size("w").alias("n_words"), low.alias("low"), near.alias("near"))
     start = lambda x: F.col("pos") - x["off"]
-    holds = lambda x: (start(x) >= 0) & (start(x) + x["n"] <= F.size("w")) & (F.array_join(F.slice("w", F.greatest(start(x) + 1, F.lit(1)), x["n"]), " ") == x["gram"])
-    hit = probes.join(_small(prefix), "key").select("doc_id", "text_key", F.transform(F.filter("found", holds), lambda x: F.struct(start(x).alias("start"), (start(x) + x["n"]).alias("end"), x["items"].alias("items"))).alias("found")).where("size(found) > 0")
-    per_doc = hit.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("found")).alias("found"))
+    there = lambda x: F.array_join(F.slice("near", F.greatest(start(x) - F.col("low") + 1, F.lit(1)), x["n"]), " ")
+    holds = lambda x: (start(x) >= 0) & (start(x) + x["n"] <= F.col("n_words")) & (there(x) == x["gram"])
+    # Empty findings go after the aggregation: a filter here would become part of the join and break its generated code.
+    hit = placed.join(F.broadcast(prefix) if few else prefix, "key").select("doc_id", "text_key", F.transform(F.filter("found", holds), lambda x: F.struct(start(x).alias("start"), (start(x) + x["n"]).alias("end"), x["items"].alias("items"))).alias("found"))
+    per_doc = hit.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("found")).alias("found")).where("size(found) > 0")
     spans = F.array_sort(F.array_distinct(F.transform("found", lambda x: F.struct(x["start"], x["end"]))))
     # A word is hit once: a stretch counts from the end of what is already covered.
     covered = F.aggregate(spans, F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n")), lambda acc, x: F.struct(F.greatest(acc["to"], x["end"]).alias("to"), (acc["n"] + F.greatest(x["end"] - F.greatest(acc["to"], x["start"]), F.lit(0))).alias("n")), lambda acc: acc["n"])
