@@ -66,12 +66,16 @@ def place(df: DataFrame, key: str, shards: int | list[str] = SHARDS, slots: int
     return rows.join(F.broadcast(lookup), "slot").select(*[c for c in df.columns if c not in ("slot", "shard")], "slot", "shard")
 
 
-def write_shards(df: DataFrame, key: str, folder: str | None = None, shards: int | list[str] = SHARDS, slots: int = SLOTS, writers: int = 4) -> str:
-    """Write the rows below ``folder``/shard=N; each shard's rows are dealt to ``writers`` tasks."""
+def write_shards(df: DataFrame, key: str, folder: str | None = None, shards: int | list[str] = SHARDS, slots: int = SLOTS, writers: int | None = None) -> str:
+    """Write the rows below ``folder``/shard=N; each shard's rows are dealt to ``writers`` tasks.
+
+    By default there are as many tasks as the session has shuffle partitions, or the next multiple of the shards.
+    """
     folder = folder or work_dir(df.sparkSession) + "/shards"
+    total = shards if isinstance(shards, int) else len(shards)
+    writers = writers or max(1, -(-int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // total))
     salt = F.pmod(F.floor(key_number(key) / F.lit(slots)), F.lit(writers))
-    count = (shards if isinstance(shards, int) else len(shards)) * writers
-    dealt = place(df, key, shards, slots).repartition(count, "shard", salt)
+    dealt = place(df, key, shards, slots).repartition(total * writers, "shard", salt)
     dealt.write.option("compression", "zstd").partitionBy("shard").parquet(folder)
     return folder
 
