@@ -30,7 +30,7 @@ def kanon_violations(spark, sf):
 
 @query("SELECT c_custkey, c_nationkey, c_mktsegment FROM (SELECT *, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS n FROM customer) WHERE n >= 12")
 def kanon_suppress(spark, sf):
-    return P.apply_suppression(table(spark, sf, "customer"), QI, 12).select("c_custkey", *QI)
+    return P.suppress_small_classes(table(spark, sf, "customer"), QI, 12).select("c_custkey", *QI)
 
 
 @query("""WITH c AS (SELECT count(*) AS size FROM customer GROUP BY c_nationkey, c_mktsegment)

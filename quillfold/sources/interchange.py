@@ -50,7 +50,7 @@ def redact_hl7(messages: DataFrame, secret: bytes, id_col: str = "id", text_col:
 
         return F.when(seg == "MSH", x).otherwise(F.array_join(F.transform(parts, cell), "|"))
 
-    return messages.withColumn(text_col, F.array_join(F.transform(F.split(text_col, "\r\n|\r|\n"), line), end))
+    return messages.withColumn(text_col, F.call_function("array_join", F.transform(F.split(text_col, "\r\n|\r|\n"), line), end))
 
 
 def hl7_narrative(messages: DataFrame, id_col: str = "id", text_col: str = "message") -> DataFrame:

@@ -20,20 +20,25 @@ def fingerprint(policy: list = POLICY, patterns: dict = PATTERNS) -> str:
     return sha256(json.dumps([sorted(map(list, policy)), sorted(patterns.items())]).encode()).hexdigest()
 
 
+def _marked(events: DataFrame, watermark: str | None) -> DataFrame:
+    """With a watermark if one is given; event times without a zone are read in the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark) if watermark else events
+
+
 def tumbling(events: DataFrame, width: str, *keys: str, watermark: str | None = None) -> DataFrame:
     """window_start, keys, n, total of values; works on tables and, with a watermark, on streams."""
-    e = events.withWatermark("ts", watermark) if watermark else events
+    e = _marked(events, watermark)
     return e.groupBy(F.window("ts", width), *keys).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").alias("window_start"), *keys, "n", "total")
 
 
 def sliding(events: DataFrame, width: str, slide: str, *keys: str, watermark: str | None = None) -> DataFrame:
-    e = events.withWatermark("ts", watermark) if watermark else events
+    e = _marked(events, watermark)
     return e.groupBy(F.window("ts", width, slide), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), *keys, "n")
 
 
 def sessions(events: DataFrame, gap: str, key: str, watermark: str | None = None) -> DataFrame:
     """key, session_start, last event plus gap, n."""
-    e = events.withWatermark("ts", watermark) if watermark else events
+    e = _marked(events, watermark)
     return e.groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
 
 
