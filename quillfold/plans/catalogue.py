@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytic_queries, privacy_queries, text_queries  # noqa: F401
+from . import analytic_queries, document_queries, privacy_queries, text_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The smallest whole path: load, aggregate, report."""
-    return QUERIES["kanon_report"](spark, sf_dir)
+    """Detect, arbitrate, decide and redact over all documents."""
+    return QUERIES["deidentify_documents"](spark, sf_dir)
