@@ -95,5 +95,7 @@ def predict(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", na
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([classify(t, fixed.value, narrow) for t in texts], columns=["lang_pred", "score", "rejected"])
 
+    # A filter on the result must not run the classifier a second time below it.
+    run = run.asNondeterministic()
     drop = [c for c in ("lang_pred", "score", "rejected") if c in docs.columns]
     return docs.drop(*drop).withColumn("_found", run(text_col)).select("*", "_found.*").drop("_found")
