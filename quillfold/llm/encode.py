@@ -16,14 +16,20 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MEMO_PIECES = 1_200_000
 MEMO_CHARS = 48
 _ENCODERS: dict[tuple, "Encoder"] = {}
 #: Letters, marks and perhaps a line end, letters: cuts of both tokenizers. Apostrophes are left out, as contractions differ.
 _COMPOUND = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?%*$#&()\[\]\"/@+=<>-]+\n?|\n)([A-Za-zÀ-ÖØ-öø-ɏ]+)?")
+#: A space beside other white space, or at an end.
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_UNEVEN = rf"^ | $| {_WHITE}|{_WHITE} "
 _SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
 
 
@@ -102,27 +108,72 @@ class Encoder:
             fresh[p] = word(head) + part(mark) + (part(tail) if tail else b"")
         return fresh
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        memo, get = self.memo, self.memo.get
-        cut = [self._cut(t) if t else ("", []) for t in texts]
-        firsts = self._fresh({first for first, _ in cut if first}, "")
-        firsts[""] = b""
-        found = [list(map(get, rest)) for _, rest in cut]
-        gaps = [[i for i, b in enumerate(row) if b is None] if None in row else () for row in found]
-        fresh = self._resolve({rest[i] for (_, rest), at in zip(cut, gaps) for i in at})
-        for (_, rest), row, at in zip(cut, found, gaps):
-            for i in at:
-                row[i] = fresh[rest[i]]
-        if fresh and len(memo) < self.bound:
-            memo.update(fresh if max(map(len, fresh)) <= MEMO_CHARS else {p: b for p, b in fresh.items() if len(p) <= MEMO_CHARS})
-        return [firsts[first] + b"".join(row) for (first, _), row in zip(cut, found)]
-
-
-def encoder(path: str, keep_space: bool) -> Encoder:
-    """One encoder per Python worker: loading a vocabulary costs more than most tasks."""
-    if (path, keep_space) not in _ENCODERS:
-        _ENCODERS[path, keep_space] = Encoder(path, keep_space)
-    return _ENCODERS[path, keep_space]
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Encodings of words, each after its space; new ones go to the memo while there is room."""
+        memo = self.memo
+        row = list(map(memo.get, words))
+        gaps = [i for i, b in enumerate(row) if b is None] if None in row else ()
+        if gaps:
+            fresh = self._resolve({words[i] for i in gaps})
+            for i in gaps:
+                row[i] = fresh[words[i]]
+            if len(memo) < self.bound:
+                memo.update(fresh if max(map(len, fresh)) <= MEMO_CHARS else {p: b for p, b in fresh.items() if len(p) <= MEMO_CHARS})
+        return row
+
+    def _glued(self, text: str) -> bytes:
+        """A text in which a space stands beside other white space, or at an end."""
+        first, rest = self._cut(text)
+        return (self._fresh({first}, "")[first] if first else b"") + b"".join(self._known(rest))
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """Words are cut and numbered by Arrow, so Python sees each distinct word of a batch once."""
+        column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
+        odd = np.flatnonzero(pc.match_substring_regex(column, _UNEVEN).to_numpy(zero_copy_only=False)) if self.lead else ()
+        out: dict[int, bytes] = {int(i): self._glued(column[int(i)].as_py()) for i in odd}
+        plain = [i for i in range(len(column)) if i not in out]
+        lists = pc.split_pattern(column.take(pa.array(plain, pa.int64())) if out else column, " ")
+        numbered = lists.flatten().dictionary_encode()
+        word = numbered.indices.to_numpy().astype(np.int64)
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        distinct = numbered.dictionary.to_pylist()
+        codes = self._known(distinct)
+        if self.lead:  # the first word of a text has no space before it
+            firsts = [distinct[k] for k in word[ends[:-1]].tolist()]
+            bare = self._fresh({w for w in firsts if w}, "") | {"": b""}
+            word[ends[:-1]] = len(codes) + np.arange(len(firsts))
+            codes = codes + [bare[w] for w in firsts]
+        size = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes)) // 4
+        pool = np.frombuffer(b"".join(codes), dtype="<u4")
+        start, n = np.cumsum(size) - size, size[word]
+        reach = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.repeat(start[word] - reach[:-1], n) + np.arange(reach[-1])]
+        data, at = ids.tobytes(), (4 * reach[ends]).tolist()
+        for k, i in enumerate(plain):
+            out[i] = data[at[k] : at[k + 1]]
+        return [out[i] for i in range(len(column))]
+
+
+def encoder(path: str, keep_space: bool, memo_pieces: int = MEMO_PIECES) -> Encoder:
+    """One encoder per Python worker: loading a vocabulary costs more than most tasks. A new one replaces the last."""
+    key = (path, keep_space, memo_pieces)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(path, keep_space, memo_pieces)
+    return _ENCODERS[key]
+
+
+def slices(batch: pa.RecordBatch, text: int = 1, most_rows: int = 1024, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of bounded text; a longer text is a part of its own."""
+    sizes = pc.binary_length(batch.column(text)).fill_null(0).to_pylist()
+    at = held = 0
+    for i, n in enumerate(sizes):
+        if i > at and (held + n > most_bytes or i - at >= most_rows):
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if at < len(sizes):
+        yield batch.slice(at)
 
 
 def tokenizer_path(name: str) -> str:

@@ -37,8 +37,8 @@ from .work import discard, prepare, spool
 
 UNIVERSE = 1 << 20
 ROWS, BANDS = 6, 40
-#: Documents in a block; two blocks meet in a task.
-BLOCK = 256
+#: Documents and shingles in a block, about; two blocks meet in a task.
+BLOCK, BLOCK_SHINGLES = 256, 250_000
 #: Standard deviations of the signature estimate allowed for before a pair counts as surely near or surely far.
 MARGIN = 4.5
 #: Ids are sent to every task up to so many (8 bytes each); beyond, texts are fetched by a shuffled join.
@@ -198,10 +198,10 @@ def block_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, in
     return out
 
 
-def verified_links(clusters: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """u, v: spanning links of similar documents within clusters (node, root)."""
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
-    placed = clusters.join(sizes, "root").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+def verified_links(clusters: DataFrame, weights: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """u, v: spanning links of similar documents within clusters (node, root). ``weights`` has doc_id and n_shingles."""
+    sizes = clusters.join(weights, clusters["node"] == weights["doc_id"]).groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    placed = clusters.join(sizes, "root").withColumn("blocks", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("w") / BLOCK_SHINGLES)))
     placed = placed.withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")))
     # Block b meets every block at or after it; a document goes to each meeting of its block.
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o")
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = usable.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
     edges = candidate_edges(reps, similarity)
     clusters = components(edges)
-    links = verified_links(clusters, docs, id_col, text_col, words, similarity)
+    links = verified_links(clusters, usable.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), docs, id_col, text_col, words, similarity)
     found = components(links.unionByName(copies.select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))))
     out = signed.select("doc_id", "n_shingles").join(found, signed["doc_id"] == found["node"], "left")
     component = F.coalesce(F.col("root"), F.col("doc_id"))

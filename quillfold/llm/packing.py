@@ -25,10 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .encode import encoder, tokenizer_path
+from .encode import encoder, slices, tokenizer_path
 from .work import prepare, spool
 
 END_ID = 1
+#: Known words in each worker, about 170 bytes each: packing ends a pipeline whose other stages also hold memory.
+MEMO_PIECES = 500_000
 
 
 @dataclass(frozen=True)
@@ -44,13 +46,12 @@ def cut_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     key_type = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, ranks = encoder(path, False), TaskContext.get().partitionId(), {}
+        enc, part, ranks = encoder(path, False, MEMO_PIECES), TaskContext.get().partitionId(), {}
         tail = np.array([end_id], dtype="<u4").tobytes()
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
+            for batch in slices(whole):
                 keys, rows = batch.column(0), []
-                for i, ids in enumerate(enc.encode(batch.column(1).to_pylist())):
+                for i, ids in enumerate(enc.encode(batch.column(1))):
                     ids += tail
                     n = len(ids) // 4
                     for start in range(0, n, capacity):

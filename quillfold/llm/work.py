@@ -7,7 +7,9 @@ if the master is local, and nothing otherwise.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -18,8 +20,14 @@ ROOT = str(Path(__file__).resolve().parents[2])
 _OWN: list[str] = []
 
 
+#: Rows in an Arrow batch: texts are large, and a batch is held whole on both sides.
+BATCH_ROWS = 1024
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package wherever the driver found it."""
+    """Let Python workers import this package wherever the driver found it, and bound their batches."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in known:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
@@ -34,6 +42,7 @@ def work_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="quillfold-"))
+            atexit.register(shutil.rmtree, _OWN[0].removeprefix("file://"), ignore_errors=True)
         base = _OWN[0]
     return f"{base.rstrip('/')}/quillfold/{uuid.uuid4().hex}"
 
