@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .encode import encoder, tokenizer_path
+from .encode import encoder, slices, tokenizer_path
 from .work import discard, prepare, spool, work_dir, write
 
 END_ID = 2
 WINDOW = 32
-LEAST, MEAN, MOST = 128, 512, 2048
+LEAST, MEAN, MOST = 256, 1024, 4096
 #: The redundant chunks are left out by a broadcast up to so many rows (48 bytes each), beyond by a shuffled join.
 BROADCAST_ROWS = 500_000
 #: A task forgets the digests that it has seen beyond so many; the global step finds their copies.
@@ -97,9 +97,8 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int
         enc, seen = encoder(path, True), set()
         tail = np.array([end_id], dtype="<u4").tobytes()
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                ids = [np.frombuffer(b + tail, "<u4") for b in enc.encode(batch.column(1).to_pylist())]
+            for batch in slices(whole):
+                ids = [np.frombuffer(b + tail, "<u4") for b in enc.encode(batch.column(1))]
                 digests, lengths, roots, new, payloads = [], [], [], [], []
                 for x, ends in zip(ids, cut_points([x.astype(np.int64) for x in ids])):
                     data, own, sizes, last = x.astype(f"<u{width}").tobytes(), [], [], 0
@@ -144,14 +143,14 @@ def write_store(docs: DataFrame, folder: str | None = None, path: str | None = N
     spark = prepare(docs.sparkSession)
     folder = folder or work_dir(spark)
     plain = {"parquet.enable.dictionary": "false"}
-    rows = spool(_encoded(docs, path or tokenizer_path("byte_bpe_50k.json"), id_col, text_col, end_id, width).withColumn("at", F.monotonically_increasing_id()), **plain)
+    rows = spool(_encoded(docs, path or tokenizer_path("byte_bpe_50k.json"), id_col, text_col, end_id, width).withColumn("at", F.monotonically_increasing_id()), **plain, compression="snappy")
 
     new = rows.where("payload IS NOT NULL").select("digest", "at")
     owners = new.groupBy("digest").agg(F.min("at").alias("own"), F.count("*").alias("n")).where("n > 1")
     spare = spool(new.join(owners, "digest").where("at <> own").select("at"))
     few = spare.count() <= BROADCAST_ROWS
     chunks = rows.where("payload IS NOT NULL").join(F.broadcast(spare) if few else spare, "at", "left_anti")
-    chunks.select("digest", "payload").write.option("compression", "zstd").options(**plain).parquet(f"{folder}/chunks")
+    chunks.select("digest", "payload").write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").options(**plain).parquet(f"{folder}/chunks")
 
     recipes = rows.where("digests IS NOT NULL").select("doc_id", "n_tokens", "digests", "lengths", "root")
     dealt = spool(recipes.repartitionByRange("doc_id", "root").withColumn("part", F.spark_partition_id()))
