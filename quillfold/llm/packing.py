@@ -98,14 +98,11 @@ def solve(sizes: np.ndarray, counts: np.ndarray, room: int, rounds: int = 4000)
     m = len(sizes)
     basis = np.diag((room // sizes).astype(float))
     inverse, x = np.diag(1.0 / np.diag(basis)), counts / np.diag(basis)
-    for k in range(rounds):
-        if k % 200 == 199:
-            inverse = np.linalg.inv(basis)
-            x = np.maximum(inverse @ counts, 0)
+    for _ in range(rounds):
         value, column = best_pattern(np.maximum(inverse.sum(axis=0), 0), sizes, room)
         if value <= 1 + 1e-7:
             break
-        step = inverse @ column
+        step = np.einsum("ij,j->i", inverse, column)  # small; threads of a linear algebra library would only wait for cores
         up = step > 1e-10
         if not up.any():
             break
