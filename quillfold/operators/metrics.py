@@ -6,6 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPSILON = 1e-6
+#: Ranges into which an order is cut, so that running sums need no single task.
+RANGES = 256
+
+
+def running_sums(rows: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """``rows`` (one for each value of ``order``) with ``before_<c>``: the sum of c over all smaller values.
+
+    Values are dealt into ranges by approximate quantiles; a range's own running sum is added to the total of the ranges
+    before it, of which there are at most ``RANGES``. The result is exact whatever the quantiles are.
+    """
+    cuts = sorted(set(rows.agg(F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)], 2000)).first()[0] or []))
+    place = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    dealt = rows.withColumn("_range", place)
+    totals = dealt.groupBy("_range").agg(*(F.sum(c).alias(f"_t_{c}") for c in columns))
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over at most RANGES rows
+    totals = totals.select("_range", *(F.coalesce(F.sum(f"_t_{c}").over(ahead), F.lit(0)).alias(f"_t_{c}") for c in columns))
+    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(F.broadcast(totals), "_range")
+    return out.select(*rows.columns, *((F.col(f"_t_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"before_{c}") for c in columns))
 
 
 def _scores(tp: Column, fp: Column, fn: Column) -> list[Column]:
@@ -112,8 +131,8 @@ def ks_statistic(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     h = lambda d, n: d.groupBy(F.col(value).alias("v")).agg(F.count("*").alias(n))
     both = h(a, "a").join(h(b, "b"), "v", "full").select("v", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
     total = both.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    run = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)  # distinct values only
-    return both.withColumn("ca", F.sum("a").over(run)).withColumn("cb", F.sum("b").over(run)).crossJoin(F.broadcast(total)).agg(F.max(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))).alias("ks"))
+    ca, cb = F.col("before_a") + F.col("a"), F.col("before_b") + F.col("b")
+    return running_sums(both, "v", ["a", "b"]).crossJoin(F.broadcast(total)).agg(F.max(F.abs(ca / F.col("ta") - cb / F.col("tb"))).alias("ks"))  # one row
 
 
 def total_variation(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
@@ -126,8 +145,7 @@ def total_variation(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
 def rank_auc(scored: DataFrame, score: str, member: str) -> DataFrame:
     """auc and advantage of a membership score: probabilities from counts by score, ties counting half."""
     h = scored.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(member)).alias("p"), F.count_if(~F.col(member)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = h.withColumn("w", F.col("p") * (below + F.col("n") / 2))
+    rows = running_sums(h, "s", ["n"]).withColumn("w", F.col("p") * (F.col("before_n") + F.col("n") / 2))
     auc = F.sum("w") / (F.sum("p") * F.sum("n"))
     return rows.agg(auc.alias("auc")).withColumn("advantage", 2 * F.col("auc") - 1)
 

@@ -70,7 +70,7 @@ def redact_mask(spark, sf):
 
 @query(f"SELECT doc_id, length({_masked('text', _LABELS, 'remove')}) AS chars_left FROM documents")
 def redact_remove(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.char_length(S.mask_by_patterns("text", _LABELS, "remove")).alias("chars_left"))
+    return _docs(spark, sf).select("doc_id", F.char_length(S.mask_by_patterns("text", _LABELS, "remove")).cast("long").alias("chars_left"))
 
 
 def _places(label: str) -> str:
