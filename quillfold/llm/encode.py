@@ -13,6 +13,8 @@ pieces longer than ``MEMO_CHARS``, are encoded afresh.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
 from array import array
@@ -22,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO_PIECES = 1_200_000
+MEMO_PIECES = 700_000
 MEMO_CHARS = 48
 _ENCODERS: dict[tuple, "Encoder"] = {}
 #: Letters, marks and perhaps a line end, letters: cuts of both tokenizers. Apostrophes are left out, as contractions differ.
@@ -163,7 +165,7 @@ def encoder(path: str, keep_space: bool, memo_pieces: int = MEMO_PIECES) -> Enco
     return _ENCODERS[key]
 
 
-def slices(batch: pa.RecordBatch, text: int = 1, most_rows: int = 1024, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: int = 1, most_rows: int = 1024, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts of bounded text; a longer text is a part of its own."""
     sizes = pc.binary_length(batch.column(text)).fill_null(0).to_pylist()
     at = held = 0
@@ -176,6 +178,13 @@ def slices(batch: pa.RecordBatch, text: int = 1, most_rows: int = 1024, most_byt
         yield batch.slice(at)
 
 
+def trim() -> None:
+    """Give freed memory back at the end of a task: executors may keep more idle workers than they have cores."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 

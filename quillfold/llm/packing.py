@@ -25,12 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .encode import encoder, slices, tokenizer_path
+from .encode import encoder, slices, tokenizer_path, trim
 from .work import prepare, spool
 
 END_ID = 1
 #: Known words in each worker, about 170 bytes each: packing ends a pipeline whose other stages also hold memory.
-MEMO_PIECES = 500_000
+MEMO_PIECES = 300_000
 
 
 @dataclass(frozen=True)
@@ -62,6 +62,7 @@ def cut_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 at, *cols = zip(*rows)
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *(pa.array(c, t) for c, t in zip(cols, types))], names=names)
+        trim()
 
     names = ["doc_id", "start", "length", "doc_tokens", "cls", "part", "rank", "ids"]
     schema = f"doc_id {key_type}, start long, length long, doc_tokens long, cls int, part int, rank long, ids binary"
