@@ -29,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .encode import encoder, slices, tokenizer_path
+from .encode import encoder, slices, tokenizer_path, trim
 from .work import discard, prepare, spool, work_dir, write
 
 END_ID = 2
+#: Known words in each worker, about 170 bytes each.
+MEMO_PIECES = 1_000_000
 WINDOW = 32
 LEAST, MEAN, MOST = 256, 1024, 4096
 #: The redundant chunks are left out by a broadcast up to so many rows (48 bytes each), beyond by a shuffled join.
@@ -94,10 +96,10 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int
     """Rows of two kinds: recipes (digests set) and chunks that the task hasn't seen (payload set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seen = encoder(path, True), set()
+        enc, seen = encoder(path, True, MEMO_PIECES), set()
         tail = np.array([end_id], dtype="<u4").tobytes()
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, most_bytes=4 << 20):
                 ids = [np.frombuffer(b + tail, "<u4") for b in enc.encode(batch.column(1))]
                 digests, lengths, roots, new, payloads = [], [], [], [], []
                 for x, ends in zip(ids, cut_points([x.astype(np.int64) for x in ids])):
@@ -132,6 +134,7 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int
                     ],
                     names=names,
                 )
+        trim()
 
     names = ["doc_id", "n_tokens", "digests", "lengths", "root", "digest", "payload"]
     key = docs.schema[id_col].dataType.simpleString()
