@@ -5,11 +5,13 @@ class) gives any rectangle's sum in four reads; 16 fixed rectangle filters compa
 coded bits, and the 16 make one 32-bit integer for each window of frames.
 
 Alignment: recordings with equal fingerprints are one class, named by its least id. Query classes (those that hold an id
-divisible by ``QUERY_EVERY``) are dealt into blocks, and every class meets every block. A class's integers, two at a
-time, are looked up among the block's by binary search; matches vote for (query, offset); offsets with enough votes are
-judged by the bit errors of all integers that then lie on each other. A link is at most ``MOST_ERRORS`` of the bits over
-at least ``LEAST_OVERLAP`` of the shorter recording. Only each class's count of links and its best one leave the task, so
-a large group of alike recordings makes no rows for its pairs.
+divisible by ``QUERY_EVERY``) are dealt into blocks, and every class meets every block. A class's single integers, and
+all that differ from one in ``FLIPS`` bits at most (in two where a recording is short), are looked up among the block's
+by binary search; matches vote for (query, offset), and an offset needs one vote, more only where the overlap is long.
+Where either recording has at most ``SHORT`` integers, every offset is scored instead. Offsets are judged by the bit
+errors of all integers that then lie on each other. A link is at most ``MOST_ERRORS`` of the bits over at least
+``LEAST_OVERLAP`` of the shorter recording. Only each class's count of links and its best one leave the task, so a large
+group of alike recordings makes no rows for its pairs.
 
 Defined cases: a null or too short recording has no fingerprint, and is linked with nothing and its own class; all-zero
 audio fingerprints like any constant; rows that share an id are one recording if alike, else the least counts; an empty
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,9 @@ RATE, FRAME, HOP = 4000, 1024, 512
 LOW_HZ, HIGH_HZ = 55.0, 1760.0
 WIDTH = 8  # frames of the widest filter
 PAIR = 3  # windows between the two integers of a lookup key
-VOTES = 3
+VOTES = 3  # needed at most
+SHORT, MIDDLE = 32, 64  # integers: every offset is scored up to SHORT, two bits are flipped up to MIDDLE
+FLIPS, PER_VOTE = 1, 100  # bits flipped in a probe; integers of overlap to a needed vote
 MOST_ERRORS, LEAST_OVERLAP = 0.15, 0.5
 QUERY_EVERY, BLOCK = 20, 2048
 
@@ -135,44 +140,81 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
     return int(np.bitwise_count(a[lo:hi] ^ b[lo - offset : hi - offset]).sum()), hi - lo
 
 
+def flips(bits: int) -> np.ndarray:
+    """Masks of at most so many bits, zero among them."""
+    return np.array([sum(1 << b for b in c) for n in range(bits + 1) for c in combinations(range(32), n)], dtype=np.uint32)
+
+
 class Index:
-    """The query recordings of a block, by key."""
+    """The query recordings of a block, by integer."""
 
     def __init__(self, ids: list[int], fps: list[np.ndarray]):
         self.ids, self.fps = ids, fps
-        keys = [keys_of(f) for f in fps]
-        flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
-        order = np.argsort(flat, kind="stable")
-        self.keys = flat[order]
-        self.owner = np.repeat(np.arange(len(fps)), [len(k) for k in keys])[order]
-        self.time = np.concatenate([np.arange(len(k)) for k in keys])[order] if keys else flat.astype(np.int64)
+        self.sizes = np.array([len(f) for f in fps], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate([np.zeros(0, dtype=np.uint32), *fps]).astype(np.uint32)
+        self.short = np.flatnonzero(self.sizes <= SHORT)
+        self.least = int(self.sizes[self.sizes > SHORT].min(initial=1 << 30))
+        owner = np.repeat(np.arange(len(fps)), self.sizes)
+        time = np.arange(len(self.flat)) - self.starts[owner]
+        order = np.argsort(self.flat, kind="stable")
+        order = order[self.sizes[owner[order]] > SHORT]
+        self.keys, self.owner, self.time = self.flat[order], owner[order], time[order]
+
+    def voted(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, offset) with enough votes, of the queries that are not short."""
+        masks, span, bias = flips(2 if min(len(fp), self.least) <= MIDDLE else FLIPS), 1 << 32, 1 << 31
+        probes, at_time = (fp[:, None] ^ masks).ravel(), np.repeat(np.arange(len(fp)), len(masks))
+        a, b = np.searchsorted(self.keys, probes, "left"), np.searchsorted(self.keys, probes, "right")
+        met = np.flatnonzero(b > a)
+        a, hits, at_time = a[met], (b - a)[met], at_time[met]
+        codes, votes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for part in np.split(np.arange(len(hits)), np.flatnonzero(np.diff(np.cumsum(hits) // 4_000_000)) + 1):  # bounded by key, not by pair
+            n = hits[part]
+            at = np.repeat(a[part], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            code, count = np.unique(self.owner[at] * span + (self.time[at] - np.repeat(at_time[part], n)) + bias, return_counts=True)
+            codes.append(code)
+            votes.append(count)
+        code, where = np.unique(np.concatenate(codes), return_inverse=True)
+        votes = np.bincount(where, weights=np.concatenate(votes), minlength=len(code))
+        q, offset = code // span, code % span - bias
+        overlap = np.minimum(self.sizes[q], len(fp) + offset) - np.maximum(0, offset)
+        enough = votes >= np.clip(overlap // PER_VOTE, 1, VOTES)
+        return q[enough], offset[enough]
+
+    def judged(self, q: np.ndarray, offset: np.ndarray, fp: np.ndarray) -> list[tuple]:
+        """(query, error rate, query id, offset, bit errors, overlap) of the places that are links."""
+        lo, hi = np.maximum(0, offset), np.minimum(self.sizes[q], len(fp) + offset)
+        n = hi - lo
+        ok = (n > 0) & (n >= LEAST_OVERLAP * np.minimum(len(fp), self.sizes[q]))
+        q, offset, lo, n, out = q[ok], offset[ok], lo[ok], n[ok], []
+        for part in np.split(np.arange(len(q)), np.flatnonzero(np.diff(np.cumsum(n) // 1_000_000)) + 1):
+            if not len(part):
+                continue
+            m = n[part]
+            ends = np.cumsum(m)
+            step = np.arange(ends[-1]) - np.repeat(ends - m, m)
+            one = self.flat[np.repeat(self.starts[q[part]] + lo[part], m) + step]
+            errors = np.add.reduceat(np.bitwise_count(one ^ fp[np.repeat(lo[part] - offset[part], m) + step]), ends - m, dtype=np.int64)
+            for k in np.flatnonzero(errors <= MOST_ERRORS * 32 * m):
+                i, e, w = part[k], int(errors[k]), int(m[k])
+                out.append((int(q[i]), e / (32 * w), self.ids[q[i]], int(offset[i]), e, w))
+        return out
 
     def links(self, own: int, fp: np.ndarray) -> list[tuple[float, int, int, int, int]]:
         """(error rate, query id, offset, bit errors, overlap) of every query recording that this one lies on."""
-        keys = keys_of(fp)
-        a, b = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
-        span, votes = 1 << 32, {}
-        hits = b - a
-        for part in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(np.cumsum(hits) // 4_000_000)) + 1):  # bounded by key, not by pair
-            n = hits[part]
-            if not n.sum():
-                continue
-            at = np.repeat(a[part], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            code, count = np.unique(self.owner[at] * span + (self.time[at] - np.repeat(part, n)) + (span >> 1), return_counts=True)
-            for c, v in zip(code.tolist(), count.tolist()):
-                votes[c] = votes.get(c, 0) + v
+        whole, places = np.arange(len(self.fps)) if len(fp) <= SHORT else self.short, []
+        n = self.sizes[whole] + len(fp) - 1
+        for part in np.split(np.arange(len(whole)), np.flatnonzero(np.diff(np.cumsum(n) // 500_000)) + 1):
+            step = np.arange(n[part].sum()) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
+            places.append(self.judged(np.repeat(whole[part], n[part]), step + 1 - len(fp), fp))
+        if len(fp) > SHORT:
+            places.append(self.judged(*self.voted(fp), fp))
         best: dict[int, tuple] = {}
-        for code, count in votes.items():
-            if count < VOTES:
-                continue
-            q, offset = code // span, code % span - (span >> 1)
-            if self.ids[q] == own:
-                continue
-            errors, overlap = bit_errors(self.fps[q], fp, offset)
-            if overlap >= LEAST_OVERLAP * min(len(fp), len(self.fps[q])) and errors <= MOST_ERRORS * 32 * overlap:
-                row = (errors / (32 * overlap), self.ids[q], offset, errors, overlap)
+        for q, *row in (x for found in places for x in found):
+            if self.ids[q] != own:
                 best[q] = min(best.get(q, row), row, key=lambda r: (-r[4], r[0], abs(r[2]), r[2]))
-        return list(best.values())
+        return [tuple(r) for r in best.values()]
 
 
 def align(prints: DataFrame, query_every: int = QUERY_EVERY, parts: int | None = None) -> DataFrame:

@@ -63,3 +63,39 @@ def test_alignment_agrees_with_brute_force(spark):
         if links:
             assert (got[k].best_query, got[k].best_offset) == min(links)[1:]
     assert ch.align(ch.fingerprints(df.limit(0), "vec_id", "embedding", ch.tones)).count() == 0
+
+
+def every_offset(a, b):
+    """Whether b lies on a at any offset."""
+    for offset in range(1 - len(b), len(a)):
+        errors, overlap = ch.bit_errors(a, b, offset)
+        if overlap and overlap >= ch.LEAST_OVERLAP * min(len(a), len(b)) and errors <= ch.MOST_ERRORS * 32 * overlap:
+            return True
+    return False
+
+
+def test_recall_against_every_offset():
+    """Noisy and cut copies of every length: most links that scoring all offsets of all pairs finds are found, and no others."""
+    for notes, least in ((5, 1.0), (8, 1.0), (18, 1.0), (24, 0.9), (36, 0.9), (64, 0.9), (200, 0.9)):
+        rng, wanted, loud, found = np.random.default_rng(notes), set(), set(), set()
+        whole = [ch.tones(song(1000 * notes + k, notes)) for k in range(40)]
+        fps = [ch.fingerprint(ch.chroma(x)) for x in whole]
+        index = ch.Index(list(range(40)), fps)
+        for k, pcm in enumerate(whole):
+            cut = int(rng.integers(0, max(1, notes // 3))) * ch.HOP + int(rng.choice([0, 64, 128]))
+            noisy = (pcm + rng.normal(0, rng.choice([0.1, 0.2, 0.3, 0.4]), len(pcm)).astype(np.float32))[cut:]
+            fp = ch.fingerprint(ch.chroma(noisy))
+            found |= {(r[1], k) for r in index.links(-1, fp)} if len(fp) else set()
+            wanted |= {(q, k) for q in range(40) if len(fp) and every_offset(fps[q], fp)}
+            rate = min((ch.bit_errors(fps[k], fp, o)[0] / 32 / ch.bit_errors(fps[k], fp, o)[1] for o in range(len(fps[k]) // 2)), default=1) if len(fp) else 1
+            loud |= {(k, k)} if 0.06 <= rate else set()
+        assert found <= wanted
+        assert len(wanted) > 5 and len(found) >= least * len(wanted)
+        assert not wanted & loud or len(found & loud) >= 0.9 * len(wanted & loud)
+
+
+def test_short_recordings_link_within_the_limit():
+    a = np.random.default_rng(1).integers(0, 1 << 32, 4, dtype=np.uint32)
+    b = a ^ np.array([15, 15, 15, 15], dtype=np.uint32)
+    assert ch.Index([7], [a]).links(8, b) == [(16 / 128, 7, 0, 16, 4)]
+    assert ch.Index([7], [a]).links(8, a ^ np.uint32(31)) == []
