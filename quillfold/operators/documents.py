@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clinical import sentences
 
+#: Characters of windows after which a batch is handed on.
+FLUSH = 8 << 20
 #: Scripts by their code point ranges.
 SCRIPTS = {"latin": "A-Za-z\\u00C0-\\u024F", "greek": "\\u0370-\\u03FF", "cyrillic": "\\u0400-\\u04FF", "hebrew": "\\u0590-\\u05FF", "arabic": "\\u0600-\\u06FF", "devanagari": "\\u0900-\\u097F", "han": "\\u4E00-\\u9FFF", "kana": "\\u3040-\\u30FF", "hangul": "\\uAC00-\\uD7AF"}
 RTL = ("hebrew", "arabic")
@@ -38,16 +40,35 @@ def document_type(text: Column | str, margin: float = 0.34) -> Column:
 def sentence_windows(docs: DataFrame, size: int, overlap: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, window, text: whole sentences packed greedily to ``size`` characters; a longer sentence is its own window.
 
-    Each window but the first begins with the last ``overlap`` sentences of the one before.
+    Each window but the first begins with the last ``overlap`` sentences of the one before. Sentences are cut by Column
+    expressions and packed in one pass over each text, so that the work is linear in the number of sentences.
     """
-    kind = "array<array<string>>"
-    length = lambda w: F.aggregate(w, F.lit(0), lambda n, x: n + F.char_length(x) + 1)
-    add = lambda acc, x: F.when((F.size(acc) > 0) & (length(F.element_at(acc, F.when(F.size(acc) > 0, -1).otherwise(1))) + F.char_length(x) <= size), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(F.element_at(acc, F.when(F.size(acc) > 0, -1).otherwise(1)), F.array(x))))).otherwise(F.concat(acc, F.array(F.array(x))))
-    packed = F.aggregate(F.coalesce(sentences(text_col), F.array().cast("array<string>")), F.array().cast(kind), add)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(packed).alias("window", "s"))
-    tail = F.lag(F.when(F.lit(overlap) > 0, F.slice("s", F.greatest(F.size("s") - overlap + 1, F.lit(1)), max(overlap, 1)))).over(Window.partitionBy("doc_id").orderBy("window"))
-    whole = F.concat(F.coalesce(tail, F.array().cast("array<string>")), "s") if overlap else F.col("s")
-    return rows.withColumn("text", F.array_join(whole, " ")).select("doc_id", "window", "text")
+    rows = docs.select(F.col(id_col).alias("doc_id"), sentences(text_col).alias("s"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at, numbers, texts, held = [], [], [], 0
+            for row, found in enumerate(batch.column(1)):
+                window, before, number, used = [], [], 0, 0
+                for s in [*(found.as_py() or ()), None]:
+                    if window and (s is None or used + len(s) > size):
+                        at.append(row)
+                        numbers.append(number)
+                        texts.append(" ".join(before + window))
+                        held += len(texts[-1])
+                        window, before, number, used = [], window[-overlap:] if overlap else [], number + 1, 0
+                    if s is not None:
+                        window.append(s)
+                        used += len(s) + 1
+                if held > FLUSH:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], names=["doc_id", "window", "text"])
+                    at, numbers, texts, held = [], [], [], 0
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], names=["doc_id", "window", "text"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, window int, text string")
 
 
 #: Weights of a coreference pair's score, and the score that links.

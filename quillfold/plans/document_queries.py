@@ -60,7 +60,7 @@ def injection_screen(spark, sf):
 @query()
 def document_windows(spark, sf):
     """Greedy packing is checked against a plain re-implementation in the tests."""
-    w = D.sentence_windows(table(spark, sf, "documents").where("n_chars < 3000"), 400)
+    w = D.sentence_windows(table(spark, sf, "documents"), 400)
     return w.groupBy("doc_id").agg(F.count("*").alias("windows"), F.max(F.char_length("text")).alias("longest"))
 
 

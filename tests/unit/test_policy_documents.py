@@ -53,3 +53,16 @@ def test_windows_agree_with_greedy_packing(spark):
         assert got.get(r.doc_id, []) == [" ".join(w) for w in want]
     two = [r.text for r in D.sentence_windows(spark.createDataFrame([(1, "Aa. Bb. Cc. Dd.")], "doc_id int, text string"), 8, overlap=1).orderBy("window").collect()]
     assert two == ["Aa. Bb.", "Bb. Cc. Dd."]
+
+
+def test_windows_of_whole_and_very_long_texts(spark):
+    from quillfold.plans.catalogue import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert docs.where("n_chars >= 3000").count() > 0
+    assert QUERIES["document_windows"](spark, sf).count() == docs.where("text RLIKE '[^ \\\\n]'").select("doc_id").distinct().count()
+    text = " ".join(f"Sentence number {i}." for i in range(40_000))
+    rows = D.sentence_windows(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, text string"), 400).orderBy("window").collect()
+    assert {r.doc_id for r in rows} == {1} and [r.window for r in rows] == list(range(len(rows)))
+    assert " ".join(r.text for r in rows) == text and max(len(r.text) for r in rows) <= 400
