@@ -283,6 +283,16 @@ def amendment_containment(spark, sf):
     return L.classify_versions(p, F.lit(True), F.col("size_b") > F.col("size_a"), F.col("shared") / F.col("size_a")).select("a", "b", "relation")
 
 
+@query()
+def version_links(spark, sf):
+    """Near copies and amendments among all documents and their whole texts; tests hold it against brute force.
+
+    ``dup_jaccard`` and ``amendment_containment`` show the operators on the short notes that their SQL can afford.
+    """
+    p = L.version_pairs(_docs(spark, sf))
+    return p.withColumn("jaccard", F.round("jaccard", 6))
+
+
 _GRAMS = "SELECT id, i AS pos, array_to_string(w[i + 1:i + 5], ' ') AS gram FROM (SELECT id, w, unnest(range(0, len(w) - 4)) AS i FROM (SELECT {0} AS id, string_split(" + _NORM + ", ' ') AS w FROM {1}) WHERE len(w) >= 5)"
 
 

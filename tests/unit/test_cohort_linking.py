@@ -1,5 +1,7 @@
 """Cohorts, linking and linked tables."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +74,30 @@ def test_versions(spark):
     assert rel == {(1, 2): "amendment", (1, 3): "near_duplicate", (2, 3): "none"}
 
 
+def test_version_pairs_agree_with_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", 16)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 60").select("doc_id", "text")
+    long = " ".join(f"word{i * 7919 % 1009} stands{i}" for i in range(9000))  # over 100,000 characters
+    own = [(1000, long), (1001, long + " and an addendum"), (1002, long[:90_000]), (1003, ""), (1004, "!"), (1005, None), (None, long), (1006, "abc"), (1007, "ABC."), (1008, "abcd")]
+    docs = docs.unionByName(spark.createDataFrame(own, "doc_id long, text string"))
+
+    def grams(text):
+        t = re.sub("[^a-z0-9_]+", " ", text.lower()).strip(" ")
+        return {t[i : i + 5] for i in range(max(len(t) - 4, 1))}
+
+    sets = {r.doc_id: grams(r.text) for r in docs.collect() if r.doc_id is not None and r.text is not None}
+    want = {}
+    for a in sets:
+        for b in sets:
+            k, na, nb = len(sets[a] & sets[b]), len(sets[a]), len(sets[b])
+            if a < b and (amends := nb > na and k / na >= 0.6 or None or k / (na + nb - k) >= 0.92 and "copy"):
+                want[a, b] = (k, na, nb, "near_duplicate" if amends == "copy" else "amendment")
+    got = L.version_pairs(docs).collect()
+    assert len(got) == len(want) and {(r.a, r.b): (r.shared, r.size_a, r.size_b, r.relation) for r in got} == want
+    assert want[1000, 1001][3] == "amendment" and (1003, 1004) in want and max(len(s) for s in sets.values()) > 20_000
+    assert L.version_pairs(docs.limit(0)).count() == 0
+
+
 def test_components_and_lineage(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(20, 21)], "u long, v long")
     nodes = spark.createDataFrame([(i,) for i in [*range(10), 20, 21, 30]], "node long")
