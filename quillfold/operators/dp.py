@@ -89,13 +89,16 @@ class Synthesizer:
 
 
 def fit_synthesizer(df: DataFrame, numeric: list[str], categorical: list[str], points: int = 101) -> Synthesizer:
-    """One pass for quantiles, one for each category's counts, one for the correlation of ranks."""
+    """One pass for quantiles, one for each category's counts, one for the correlation of ranks.
+
+    Every value of a categorical column is kept, so the model on the driver grows with their number.
+    """
     at = [i / (points - 1) for i in range(points)]
     q = df.agg(*(F.percentile_approx(c, at, 10_000).alias(c) for c in numeric)).first()
     numbers = {c: [float(x) for x in q[c]] for c in numeric}
     shares = {}
     for c in categorical:
-        rows = df.groupBy(F.col(c).cast("string").alias("v")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "v").limit(1000).collect()
+        rows = df.groupBy(F.col(c).cast("string").alias("v")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "v").collect()
         total = sum(r["n"] for r in rows)
         shares[c] = [(r["v"], r["n"] / total) for r in rows]
     # Ranks are read off the quantiles, so no global sort is needed.

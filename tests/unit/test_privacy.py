@@ -153,3 +153,9 @@ def test_synthetic_rows(spark):
     r = s.agg(F.corr("x", "y").alias("r"), F.avg((F.col("c") == "q").cast("double")).alias("q"), F.avg("x").alias("x")).first()
     assert r.r > 0.9 and abs(r.q - 0.75) < 0.06 and abs(r.x - 49.5) < 5
     assert sorted(map(tuple, s.collect())) == sorted(map(tuple, D.sample_synthesizer(spark, m, 1000, seed=5, partitions=3).collect()))
+
+
+def test_synthesizer_keeps_rare_categories(spark):
+    df = spark.range(3000).selectExpr("cast(id as double) AS x", "cast(CASE WHEN id < 1500 THEN 0 ELSE id END as string) AS c")
+    (shares,) = D.fit_synthesizer(df, ["x"], ["c"]).categories.values()
+    assert len(shares) == 1501 and shares[0] == ("0", 0.5) and abs(sum(p for _, p in shares) - 1) < 1e-9
