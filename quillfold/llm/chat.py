@@ -92,7 +92,7 @@ def format_conversations(rows: DataFrame, path: str | None = None, conv_col: str
     key = whole.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = encoder(path, True).tokenizer
+        tokenizer = encoder(path, True, special_as_text=True).tokenizer
         for full in batches:
             for lo in range(0, full.num_rows, 64):
                 batch = full.slice(lo, 64)

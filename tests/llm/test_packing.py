@@ -1,13 +1,14 @@
 import zlib
 
 import numpy as np
+from tokenizers import Tokenizer
 
 from quillfold.llm import packing as pk
-from quillfold.llm.encode import encoder, tokenizer_path
+from quillfold.llm.encode import tokenizer_path
 
 
 def check(rows, packed, capacity=2048):
-    tok = encoder(tokenizer_path("word_bpe_49k.json"), False).tokenizer
+    tok = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     want = sorted((k, [*tok.encode(t or "", add_special_tokens=False).ids, 1]) for k, t in rows)
     by_doc, by_seq = {}, {}
     for r in packed.placed.collect():

@@ -4,13 +4,14 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from quillfold.llm import token_store as ts
-from quillfold.llm.encode import encoder, tokenizer_path
+from quillfold.llm.encode import tokenizer_path
 
 
 def brute(rows):
-    tok = encoder(tokenizer_path("byte_bpe_50k.json"), True).tokenizer
+    tok = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
     out, start = [], 0
     for doc_id, text in rows:
         ids = [*tok.encode(text or "", add_special_tokens=False).ids, 2]
@@ -28,7 +29,7 @@ def test_checks_agree_with_brute_force(spark, sf):
     chunks = spark.read.parquet(f"{folder}/chunks")
     assert chunks.count() == chunks.select("digest").distinct().count() < sum(r.n_chunks for r in got)
     for r in ts.read_documents(spark, folder).limit(20).join(docs.withColumnRenamed("doc_id", "k"), F.col("doc_id") == F.col("k")).collect():
-        want = [*encoder(tokenizer_path("byte_bpe_50k.json"), True).tokenizer.encode(r.text, add_special_tokens=False).ids, 2]
+        want = [*Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")).encode(r.text, add_special_tokens=False).ids, 2]
         assert np.frombuffer(bytes(r.ids), "<u2").tolist() == want
 
 
