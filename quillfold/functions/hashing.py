@@ -36,9 +36,22 @@ def hex_mod(digest: Column | str, n: int) -> Column:
     return out
 
 
+def record_digest(record_id: Column | str, namespace: str = "docs") -> Column:
+    """Digest of namespace and trimmed id."""
+    return F.sha2(F.concat(F.lit(f"{namespace}:"), F.trim(_col(record_id).cast("string"))).cast("binary"), 256)
+
+
 def shard_of(record_id: Column | str, shards: int, namespace: str = "docs") -> Column:
-    """Stable shard of a record: the digest of namespace and trimmed id, modulo the number of shards."""
-    return hex_mod(F.sha2(F.concat(F.lit(f"{namespace}:"), F.trim(_col(record_id).cast("string"))).cast("binary"), 256), shards).cast("int")
+    """Stable shard of a record: its digest modulo the number of shards."""
+    return hex_mod(record_digest(record_id, namespace), shards).cast("int")
+
+
+def set_fingerprint(digest: Column | str) -> Column:
+    """An aggregate: a digest of a group's digests whatever their order, combined before any shuffle and never gathered."""
+    d = _col(digest)
+    number = lambda start, n: F.conv(F.substring(d, start, n), 16, 10).cast("long")
+    parts = (F.count("*"), F.bit_xor(number(1, 15)), F.bit_xor(number(16, 15)), F.sum(number(31, 8)))
+    return F.sha2(F.concat_ws(":", *(x.cast("string") for x in parts)).cast("binary"), 256)
 
 
 def surrogate_key(*parts: Column | str) -> Column:

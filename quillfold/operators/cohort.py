@@ -136,12 +136,13 @@ def ordered(cs: list[Criterion]) -> list[Criterion]:
     return out
 
 
-def descendants(edges: DataFrame, roots: list[int], ancestor: str = "ancestor_concept_id", descendant: str = "descendant_concept_id", depth: int = 64) -> list[int]:
-    """Roots and all below them; the frontier of a concept set is walked on the driver, a level at a time."""
+def descendants(edges: DataFrame, roots: list[int], ancestor: str = "ancestor_concept_id", descendant: str = "descendant_concept_id") -> list[int]:
+    """Roots and all below them, however deep; the frontier of a concept set is walked on the driver, a level at a time.
+
+    Each level adds concepts not seen before, so cycles end the walk too.
+    """
     seen, frontier = set(roots), set(roots)
-    for _ in range(depth):
-        if not frontier:
-            break
+    while frontier:
         found = edges.where(F.col(ancestor).isin(*frontier)).select(descendant).distinct().collect()  # one concept set's children
         frontier = {r[0] for r in found} - seen
         seen |= frontier

@@ -49,8 +49,9 @@ class Budget:
 
 
 def bounded_aggregates(df: DataFrame, value: str, low: float, high: float, by: list[str] | None = None) -> DataFrame:
-    """n and clamped sum, by group: what noise is added to."""
-    v = F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), F.col(value)))
+    """n and clamped sum, by group: what noise is added to. Nulls count in neither, NaN as the lower bound."""
+    x = F.nanvl(F.col(value).cast("double"), F.lit(float(low)))
+    v = F.when(x.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x)))
     return df.groupBy(*(by or [])).agg(F.count(value).alias("n"), F.sum(v).alias("total"))
 
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import prepare, spool
+
+#: Queries that every task holds at once.
+QUERY_BLOCK = 8192
 EXACT, NORMALIZED, ABBREVIATION = 1.0, 0.95, 0.90
 
 
@@ -57,12 +62,54 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 0) -> DataFrame:
-    """query_id, vec_id, sim, rank: nearest vectors of a stated set of queries, against all vectors."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"))
-    rows = vectors.select("vec_id", "embedding").join(q, F.col("vec_id") != F.col("query_id"))
-    rows = rows.select("query_id", "vec_id", F.round(cosine(F.col("qe"), F.col("embedding")), 6).alias("sim"))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "vec_id"))).where(F.col("rank") <= k)
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, vec_id, sim, rank: nearest vectors of a stated set of queries, against all vectors but their own.
+
+    Queries are dealt into blocks that every task can hold; each block is one scan of the vectors, in which a task keeps
+    its best ``k`` of each query, and the tasks' bests are merged. Ties go to the lesser id. Vectors that are null, of zero
+    length, or of another dimension than a query's have no similarity to it.
+    """
+    spark = prepare(vectors.sparkSession)
+    asked = spool(queries.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id IS NOT NULL AND size(embedding) > 0"))
+    blocks = max(1, -(-asked.count() // block))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id IS NOT NULL AND size(embedding) > 0")
+    out = None
+    for i in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).collect()  # a block of stated size
+        held = spark.sparkContext.broadcast([(r["vec_id"], np.array([np.nan if x is None else x for x in r["embedding"]], dtype=np.float64)) for r in part])
+
+        def run(batches, held=held):
+            import pyarrow as pa
+            import pyarrow.compute as pc
+
+            by_size: dict[int, tuple] = {}
+            for n in {len(e) for _, e in held.value}:
+                ids, m = zip(*((q, e) for q, e in held.value if len(e) == n))
+                m = np.stack(m)
+                by_size[n] = (np.array(ids), m, np.linalg.norm(m, axis=1), [np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=np.int64)])
+            for batch in batches:
+                sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+                for n, (ids, m, norm, best) in by_size.items():
+                    at = np.flatnonzero(sizes == n)
+                    for lo in range(0, len(at), 2048):
+                        some = batch.take(pa.array(at[lo : lo + 2048]))
+                        own = some.column(0).to_numpy()
+                        v = some.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
+                        with np.errstate(all="ignore"):
+                            sim = np.round(m @ v.T / (norm[:, None] * np.linalg.norm(v, axis=1)[None, :]), 6)
+                        sim[(ids[:, None] == own[None, :]) | ~np.isfinite(sim)] = -np.inf
+                        sim = np.concatenate([best[0], sim], axis=1)
+                        which = np.concatenate([best[1], np.broadcast_to(own, (len(ids), len(own)))], axis=1)
+                        first = np.lexsort((which, -sim), axis=1)[:, :k]
+                        best[0], best[1] = np.take_along_axis(sim, first, 1), np.take_along_axis(which, first, 1)
+            for ids, _, _, (sim, which) in by_size.values():
+                q, c = np.nonzero(np.isfinite(sim))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(which[q, c], pa.int64()), pa.array(sim[q, c], pa.float64())], names=["query_id", "vec_id", "sim"])
+
+        one = rows.mapInArrow(run, "query_id long, vec_id long, sim double")
+        out = one if out is None else out.unionByName(one)
+    best = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "vec_id")  # over k rows from each task
+    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def centroids(vectors: DataFrame, label: str) -> DataFrame:

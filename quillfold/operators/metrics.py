@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import quoted, spool, unused
+
 EPSILON = 1e-6
 #: Ranges into which an order is cut, so that running sums need no single task.
 RANGES = 256
@@ -109,12 +111,28 @@ def population_stability(base: DataFrame, now: DataFrame, bucket: str) -> DataFr
 
 
 def benjamini_hochberg(tests: DataFrame, key: str, p: str, group: list[str] | None = None, alpha: float = 0.05) -> DataFrame:
-    """adjusted p and rejected; ranks by (p, key) within each family of tests."""
-    w = Window.partitionBy(*(group or [F.lit(0)]))
-    ranked = tests.withColumn("_r", F.row_number().over(w.orderBy(p, key))).withColumn("_m", F.count("*").over(w))
-    raw = F.col(p) * F.col("_m") / F.col("_r")
-    adjusted = F.least(F.lit(1.0), F.min(raw).over(w.orderBy("_r").rowsBetween(0, Window.unboundedFollowing)))
-    return ranked.withColumn("adjusted", adjusted).withColumn("rejected", F.col("adjusted") <= alpha).drop("_r", "_m")
+    """The same rows with adjusted p and rejected, within each family of tests.
+
+    Tests of one p share their adjusted p, so families are combined to counts by p first. Those are dealt by ranges of
+    (family, p), whatever a family's size: a part adds up its own counts and looks up what lies before it, and its least
+    raw value and what lies after. Tests with a null p are in no family and get nulls. ``key`` is kept for ties in reports.
+    """
+    by = group or []
+    family, part, before, after, m, c = unused(tests, "_family", "_part", "_before", "_after", "_m", "_c")
+    tagged = tests.withColumn(family, F.struct(*map(quoted, by)) if by else F.struct(F.lit(0).alias("one")))
+    counts = tagged.where(quoted(p).isNotNull()).groupBy(family, quoted(p).alias("p")).agg(F.count("*").alias("n"))
+    dealt = spool(counts.repartitionByRange(family, "p").withColumn(part, F.spark_partition_id()))
+    sums = dealt.groupBy(family, part).agg(F.sum("n").alias("t"))  # a family has at most as many rows as there are parts
+    parts = Window.partitionBy(family).orderBy(part)
+    sums = sums.withColumn(before, F.coalesce(F.sum("t").over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn(m, F.sum("t").over(Window.partitionBy(family)))
+    inside = Window.partitionBy(part, family).orderBy("p")
+    ranked = dealt.join(sums.drop("t"), [family, part]).withColumn(c, F.col(before) + F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = spool(ranked.withColumn("raw", F.col("p") * F.col(m) / F.col(c)).select(family, part, "p", "raw"))
+    least = ranked.groupBy(family, part).agg(F.min("raw").alias("t")).withColumn(after, F.min("t").over(parts.rowsBetween(1, Window.unboundedFollowing)))
+    back = F.min("raw").over(inside.rowsBetween(0, Window.unboundedFollowing))
+    adjusted = ranked.join(least.drop("t"), [family, part]).select(F.col(family).alias("_f"), F.col("p").alias("_p"), F.least(F.lit(1.0), back, after).alias("_a"))
+    out = tagged.join(adjusted, tagged[family].eqNullSafe(F.col("_f")) & (quoted(p) == F.col("_p")), "left")
+    return out.select(*(quoted(x) for x in tests.columns if x.lower() not in ("adjusted", "rejected")), F.col("_a").alias("adjusted"), (F.col("_a") <= alpha).alias("rejected"))
 
 
 def threshold_sweep(scored: DataFrame, thresholds: list[float], score: str, truth: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import unused
+
 #: Actions from weak to strong.
 STRENGTH = ("keep", "shift", "generalize", "mask", "hash", "replace", "remove")
 
@@ -72,11 +74,18 @@ def consented(rows: DataFrame, consent: DataFrame, subject: str, use: str) -> Da
 
 
 def cascade(docs: DataFrame, cheap: Callable[[DataFrame], DataFrame], dear: Callable[[DataFrame], DataFrame], floor: float, id_col: str = "doc_id") -> DataFrame:
-    """Spans of the cheap detector where all of a document's reach the floor; the dear one sees only the other documents."""
+    """Spans of two detectors with their stage (cheap, dear); the dear one runs where the cheap one settles nothing.
+
+    A document is settled if it has cheap spans and all of them reach the floor. All others go to the dear detector, those
+    without any cheap span among them. Spans of both stages are given out, for arbitration. A null id is an id like
+    others; rows that share an id are settled together. The plan reads the cheap spans twice, so a costly ``cheap`` is
+    best written to a table first.
+    """
+    settled, known = unused(docs, "_settled", "_known")
     first = cheap(docs)
-    unsure = first.groupBy("doc_id").agg(F.min("score").alias("s")).where(F.col("s") < floor).select(F.col("doc_id").alias("_d"))
-    rest = docs.join(unsure, docs[id_col] == unsure["_d"], "left_semi")
-    return first.join(unsure, first["doc_id"] == unsure["_d"], "left_anti").unionByName(dear(rest), allowMissingColumns=True)
+    sure = first.groupBy(F.col("doc_id").alias(known)).agg((F.min("score") >= floor).alias(settled)).where(settled)
+    rest = docs.join(sure, docs[id_col].eqNullSafe(sure[known]), "left_anti")
+    return first.withColumn("stage", F.lit("cheap")).unionByName(dear(rest).withColumn("stage", F.lit("dear")), allowMissingColumns=True)
 
 
 def custom_terms(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import validators as V
+from ..functions.hashing import date_shift_days
+from ..functions.places import occurrences
+from ..functions.surrogates import surrogate
+from ..scratch import quoted, unused
 
 #: Patterns that mean the same to Java and RE2. Group 1 is what stands before, group 2 the surface.
 PATTERNS = {
@@ -34,43 +38,108 @@ CONTEXT = {"CARD": "card|visa|credit", "PHONE": "phone|tel|call|fax", "SSN": "ss
 WINDOW, BOOST = 40, 0.1
 
 
+#: What stands in every text that the pattern matches: a literal, or a simpler expression.
+PROBES = {
+    "EMAIL": ("contains", "@"),
+    "URL": ("contains", "://"),
+    "MRN": ("contains", "MRN"),
+    "PHONE": ("rlike", "[2-9][0-9]{2}[-. ][0-9]{4}"),
+    "SSN": ("rlike", "[0-9]{3}-[0-9]{2}-[0-9]{4}"),
+    "IPV4": ("rlike", "[0-9][.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]"),
+    "CARD": ("rlike", "[0-9]{16}"),
+    "DATE": ("rlike", "[0-9]{4}-[0-9]{2}-[0-9]{2}"),
+    "MAC": ("rlike", "(?::[0-9A-Fa-f]{2}){5}"),
+    "ZIP": ("rlike", "[0-9]{5}-[0-9]{4}"),
+}
+SPAN = "struct<start:int,end:int,label:string,surface:string,score:double,valid:boolean,detector:string>"
+
+
+def _text(text: Column | str) -> Column:
+    return quoted(text) if isinstance(text, str) else text
+
+
+def may_hold(text: Column, label: str, patterns: dict[str, str] = PATTERNS) -> Column:
+    """Whether the label's pattern is worth trying: false only where it cannot match."""
+    if label not in PROBES or patterns.get(label) != PATTERNS.get(label):
+        return text.isNotNull()
+    kind, sought = PROBES[label]
+    return getattr(text, kind)(sought)
+
+
+def matches(text: Column | str, label: str, patterns: dict[str, str] = PATTERNS, group: int = 2) -> Column:
+    """All matches of a label in a text, in order; null where there cannot be any."""
+    t = _text(text)
+    return F.when(may_hold(t, label, patterns), F.regexp_extract_all(t, F.lit(patterns[label]), F.lit(group)))
+
+
 def surfaces(text: Column | str, label: str, patterns: dict[str, str] = PATTERNS) -> Column:
-    """All surfaces of a label in a text, in order."""
-    return F.regexp_extract_all(text, F.lit(patterns[label]), 2)
+    """All surfaces of a label in a text, in order; null where there cannot be any."""
+    return matches(text, label, patterns, 2)
 
 
-def occurrences(text: Column | str, pattern: str, group: int = 2) -> Column:
-    """Array of (start, end, surface). The matches are found once; each is then located from the end of the one before."""
-    t = F.col(text) if isinstance(text, str) else text
-    state = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,end:int,surface:string>>").alias("out"))
-    whole, inner = F.regexp_extract_all(t, F.lit(pattern), 0), F.regexp_extract_all(t, F.lit(pattern), group)
+def with_spans(docs: DataFrame, out: str = "spans", labels: list[str] | None = None, text_col: str = "text", patterns: dict[str, str] = PATTERNS, validate: bool = True) -> DataFrame:
+    """The same rows with an array of their spans: every match of every pattern, by start and end.
+
+    All labels are found in one scan of the text, and nothing is joined or shuffled: rows need no key. A pattern whose
+    surface ends its match is located by code points. The score is the label's base, raised when one of its context words
+    stands within ``WINDOW`` characters. A null text has no spans.
+    """
+    labels = labels or sorted(patterns)
+    held = unused(docs, *(f"_matches_{x}" for x in labels))
+    text = _text(text_col)
+    found = docs.select("*", *(matches(text, x, patterns, 0).alias(h) for x, h in zip(labels, held)))
 
-    def step(acc: Column, m: Column) -> Column:
-        begin = F.call_function("locate", m["0"], t, acc["at"])
-        stop = begin + F.char_length(m["0"])
-        row = F.struct((stop - 1 - F.char_length(m["1"])).alias("start"), (stop - 1).alias("end"), m["1"].alias("surface"))
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
+    def spans_of(label: str, whole: Column) -> Column:
+        def span(m: Column) -> Column:
+            ok = VALIDATORS[label](m["surface"]) if validate and label in VALIDATORS else F.lit(True)
+            around = F.lower(F.substring(text, F.greatest(m["start"] - WINDOW + 1, F.lit(1)), m["end"] - m["start"] + 2 * WINDOW))
+            boost = F.when(around.rlike(CONTEXT[label]), BOOST).otherwise(0.0) if label in CONTEXT else F.lit(0.0)
+            score = F.least(F.lit(1.0), F.lit(BASE_SCORE.get(label, 0.5)) + boost)
+            return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(label).alias("label"), m["surface"].alias("surface"), score.alias("score"), F.coalesce(ok, F.lit(False)).alias("valid"), F.lit(f"rules:{label.lower()}").alias("detector"))
 
-    pairs = F.zip_with(whole, inner, lambda a, b: F.struct(a.alias("0"), b.alias("1")))
-    return F.aggregate(pairs, state, step, lambda acc: acc["out"])
+        return F.when(F.size(whole) > 0, F.transform(occurrences(text, patterns[label], 2, whole), span)).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+    every = F.concat(*(spans_of(x, quoted(h)) for x, h in zip(labels, held)))
+    return found.select(*(quoted(c) for c in docs.columns if c.lower() != out.lower()), F.array_sort(every).alias(out))
 
 
 def detect(docs: DataFrame, labels: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", patterns: dict[str, str] = PATTERNS, validate: bool = True) -> DataFrame:
-    """doc_id, start, end, label, surface, score, valid, detector: every match of every pattern.
+    """doc_id, start, end, label, surface, score, valid, detector: a row for each span of ``with_spans``."""
+    rows = with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "spans", labels, "text", patterns, validate)
+    return rows.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+
+
+def match_counts(docs: DataFrame, labels: list[str], *keys: str, text_col: str = "text") -> DataFrame:
+    """n of matches for all combinations of the keys and label, with totals; one scan, matches are counted within rows."""
+    each = F.array(*(F.struct(F.lit(x).alias("label"), F.size(F.coalesce(matches(text_col, x, group=0), F.array().cast("array<string>"))).alias("n")) for x in labels))
+    rows = docs.select(*keys, F.explode(F.filter(each, lambda c: c["n"] > 0)).alias("c")).select(*keys, "c.label", "c.n")
+    return rows.cube(*keys, "label").agg(F.sum("n").alias("n"))
 
-    A pattern whose surface ends its match is located by code points. The score is the label's base, raised when one of
-    its context words stands within ``WINDOW`` characters. Texts without a match make no rows.
+
+def _better(x: Column, y: Column, policy: list[tuple]) -> Column:
+    """Whether x wins over y: rules first, then specificity, length, score, earlier start, detector."""
+    key = lambda s: F.struct(F.when(s["detector"].startswith("rules:"), 0).otherwise(1), -specificity(policy, s["label"]), s["start"] - s["end"], -s["score"], s["start"])
+    return (key(x) < key(y)) | ((key(x) == key(y)) & (x["detector"] > y["detector"]))
+
+
+def winners(spans: Column | str, floor: float = 0.0, policy: list[tuple] = POLICY, kind: str = SPAN) -> Column:
+    """The winner of each overlap cluster of an array of spans, in order: ``arbitrate_balanced`` within the row.
+
+    ``kind`` is the type of a span, whose first fields are start and end.
     """
-    rows = None
-    for label in labels or sorted(patterns):
-        found = F.explode(occurrences(text_col, patterns[label]))
-        one = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), found.alias("m"))
-        ok = VALIDATORS[label](F.col("m.surface")) if validate and label in VALIDATORS else F.lit(True)
-        around = F.lower(F.substring(F.col("_text"), F.greatest(F.col("m.start") - WINDOW + 1, F.lit(1)), F.col("m.end") - F.col("m.start") + 2 * WINDOW))
-        boost = F.when(around.rlike(CONTEXT[label]), BOOST).otherwise(0.0) if label in CONTEXT else F.lit(0.0)
-        one = one.select("doc_id", "m.start", "m.end", F.lit(label).alias("label"), "m.surface", F.least(F.lit(1.0), F.lit(BASE_SCORE.get(label, 0.5)) + boost).alias("score"), F.coalesce(ok, F.lit(False)).alias("valid"), F.lit(f"rules:{label.lower()}").alias("detector"))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    s = F.col(spans) if isinstance(spans, str) else spans
+    ordered = F.array_sort(F.filter(s, lambda x: x["score"] >= floor))
+    none = F.lit(None).cast(kind)
+    state = F.struct(F.lit(-1).alias("reach"), none.alias("best"), F.array().cast(f"array<{kind}>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        opens = x["start"] >= acc["reach"]
+        best = F.when(opens | _better(x, acc["best"], policy), x).otherwise(acc["best"])
+        done = F.when(opens & acc["best"].isNotNull(), F.concat(acc["out"], F.array(acc["best"]))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["reach"], x["end"]).alias("reach"), best.alias("best"), done.alias("out"))
+
+    last = lambda acc: F.when(acc["best"].isNotNull(), F.concat(acc["out"], F.array(acc["best"]))).otherwise(acc["out"])
+    return F.when(F.size(ordered) > 1, F.aggregate(ordered, state, step, last)).otherwise(ordered)
 
 
 def with_clusters(spans: DataFrame) -> DataFrame:
@@ -143,10 +212,31 @@ def apply_policy(spans: DataFrame, policy: list[tuple] = POLICY, default: str =
     return spans.join(F.broadcast(table), "label", "left").withColumn("action", F.coalesce("action", F.lit(default)))
 
 
-def replacement(key_digits: int = 8) -> Column:
-    """What a span becomes, by its action: [LABEL], nothing, LABEL_digest, or itself."""
-    digest = F.concat(F.col("label"), F.lit("_"), F.substring(F.sha2(F.col("surface").cast("binary"), 256), 1, key_digits))
-    return F.when(F.col("action") == "remove", "").when(F.col("action") == "hash", digest).when(F.col("action").isin("keep", "shift"), F.col("surface")).otherwise(F.concat(F.lit("["), F.col("label"), F.lit("]")))
+def action_of(label: Column, policy: list[tuple] = POLICY, default: str = "mask") -> Column:
+    """A label's action, else the default."""
+    table = [F.lit(x) for name, _, action in policy for x in (name, action)]
+    return F.coalesce(F.try_element_at(F.create_map(*table), label), F.lit(default)) if table else F.lit(default)
+
+
+def replacement(key_digits: int = 8, label: Column | str = "label", surface: Column | str = "surface", action: Column | str = "action", secret: bytes | None = None, subject: Column | None = None, lang: Column | None = None, days: Column | None = None) -> Column:
+    """What a span becomes, by its action.
+
+    mask: [LABEL]; remove: nothing; hash: LABEL_digest; keep: itself; replace: a surrogate of the same kind, the same for
+    equal surfaces of a subject; shift: a date moved by so many days. Replace masks without a ``secret``, shift without
+    ``days`` or where a surface is no date.
+    """
+    c = lambda x: F.col(x) if isinstance(x, str) else x
+    label, surface, action = c(label), c(surface), c(action)
+    mask = F.concat(F.lit("["), label, F.lit("]"))
+    digest = F.concat(label, F.lit("_"), F.substring(F.sha2(surface.cast("binary"), 256), 1, key_digits))
+    out = F.when(action == "remove", "").when(action == "hash", digest).when(action == "keep", surface)
+    if secret is not None:
+        who = F.lit("") if subject is None else F.coalesce(subject.cast("string"), F.lit(""))
+        out = out.when(action == "replace", F.coalesce(surrogate(label, surface, secret, who, lang), mask))
+    if days is not None:
+        day = F.call_function("try_to_date", surface, F.lit("yyyy-MM-dd"))
+        out = out.when(action == "shift", F.coalesce(F.date_format(F.date_add(day, days), "yyyy-MM-dd"), mask))
+    return out.otherwise(mask)
 
 
 def numbered_masks(spans: DataFrame) -> DataFrame:
@@ -159,29 +249,61 @@ def numbered_masks(spans: DataFrame) -> DataFrame:
 
 def splice(text: Column, spans: Column) -> Column:
     """The text with (start, end, replacement) applied; spans that begin before the last one ended are left out."""
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    ordered = F.array_sort(spans)
+    state = F.struct(F.lit(0).alias("at"), text.alias("rest"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        joined = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["replacement"])
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), joined.alias("out"))).otherwise(acc)
+        before = F.substring(acc["rest"], F.lit(1), s["start"] - acc["at"])
+        rest = F.substring(acc["rest"], s["end"] - acc["at"] + 1, F.lit(2**31 - 1))
+        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), rest.alias("rest"), F.concat(acc["out"], F.array(before, s["replacement"])).alias("out"))).otherwise(acc)
 
-    done = F.aggregate(ordered, state, step)
-    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.char_length(text)))
+    whole = F.aggregate(F.array_sort(spans), state, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(acc["rest"])), ""))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
-def redact(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with their spans (with action) replaced, and how many were. Documents without spans keep their text."""
-    edits = spans.select("doc_id", F.struct("start", "end", replacement().alias("replacement")).alias("e")).groupBy("doc_id").agg(F.collect_list("e").alias("_edits")).withColumnRenamed("doc_id", "_id")
-    none = F.array().cast("array<struct<start:int,end:int,replacement:string>>")
-    out = docs.join(edits, docs[id_col] == edits["_id"], "left").withColumn("_edits", F.coalesce("_edits", none))
-    return out.withColumn("redacted", splice(F.col(text_col), F.col("_edits"))).withColumn("n_spans", F.size("_edits")).drop("_edits", "_id")
+def redact(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents with spans of another table (with surface and action) replaced, and how many were.
 
-
-def deidentify(docs: DataFrame, labels: list[str] | None = None, policy: list[tuple] = POLICY, floor: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Detect, keep the valid, arbitrate, decide, redact."""
-    found = detect(docs, labels, id_col, text_col).where("valid")
-    return redact(docs, apply_policy(arbitrate_balanced(found, floor), policy), id_col, text_col)
+    Spans meet documents by id, a null id those without one. A span that does not lie in the text where it says, as where
+    rows with other texts share the id, is not applied there. Documents without spans keep their text. ``options`` are
+    those of ``replacement``. For pattern spans ``deidentify`` needs neither ids nor a join.
+    """
+    key, edits = unused(docs, "_id", "_edits")
+    e = F.struct("start", "end", replacement(**options).alias("replacement"), "surface")
+    mine = spans.select(F.col("doc_id").alias(key), e.alias(edits)).groupBy(key).agg(F.collect_list(edits).alias(edits))
+    none = F.array().cast("array<struct<start:int,end:int,replacement:string,surface:string>>")
+    text = _text(text_col)
+    out = docs.join(mine, docs[id_col].eqNullSafe(mine[key]), "left")
+    fits = F.filter(F.coalesce(F.col(edits), none), lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"]) == s["surface"])
+    return out.withColumn(edits, fits).withColumn("redacted", splice(text, F.col(edits))).withColumn("n_spans", F.size(edits)).drop(key, edits)
+
+
+def deidentify(docs: DataFrame, labels: list[str] | None = None, policy: list[tuple] = POLICY, floor: float = 0.0, text_col: str = "text", method: str | None = None, secret: bytes | None = None, subject_col: str | None = None, lang_col: str | None = None, max_days: int = 365, patterns: dict[str, str] = PATTERNS, more: Column | None = None) -> DataFrame:
+    """The same rows with redacted and n_spans: detect, keep the valid, arbitrate, decide, replace.
+
+    All of it happens within the row, in the JVM: no key, no join, no shuffle, so null and repeated ids are safe.
+    ``method`` is an action for all labels in place of the policy's. ``secret`` keys surrogates and date offsets, the
+    latter by ``subject_col``. ``more`` is an array of spans (``SPAN``) of another detector. Columns redacted and n_spans
+    are replaced; a null text stays null.
+    """
+    if method is not None and method not in ("mask", "remove", "hash", "keep", "replace", "shift"):
+        raise ValueError(f"unknown method: {method}")
+    rows = docs.drop(*(c for c in docs.columns if c.lower() in ("redacted", "n_spans")))
+    held, won, days = unused(rows, "_spans", "_won", "_days")
+    col = lambda c: None if c is None else quoted(c)
+    may = {method} if method else {a for n, _, a in policy if not labels or n in labels}
+    shifts = secret is not None and subject_col is not None and "shift" in may
+    found = with_spans(rows, held, labels, text_col, patterns)
+    found = found.withColumn(days, date_shift_days(secret, col(subject_col), max_days) if shifts else F.lit(None).cast("int"))
+    valid = F.filter(held, lambda s: s["valid"])
+    if more is not None:
+        valid = F.concat(valid, F.coalesce(more, F.array().cast(f"array<{SPAN}>")))
+    found = found.withColumn(won, winners(valid, floor, policy))
+    act = lambda s: F.lit(method) if method else action_of(s["label"], policy)
+    keyed = secret if "replace" in may else None
+    new = lambda s: replacement(8, s["label"], s["surface"], act(s), keyed, col(subject_col), col(lang_col), F.col(days) if shifts else None)
+    edits = F.transform(won, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), new(s).alias("replacement")))
+    out = found.withColumn(held, edits)
+    return out.select(*(quoted(c) for c in rows.columns), splice(_text(text_col), F.col(held)).alias("redacted"), F.size(held).alias("n_spans"))
 
 
 def mask_by_patterns(text: Column | str, labels: list[str], style: str = "mask") -> Column:
@@ -191,7 +313,8 @@ def mask_by_patterns(text: Column | str, labels: list[str], style: str = "mask")
     """
     out = F.col(text) if isinstance(text, str) else text
     for label in labels:
-        out = F.regexp_replace(out, F.lit(PATTERNS[label]), F.lit("$1" + ("" if style == "remove" else f"[{label}]")))
+        new = F.regexp_replace(out, F.lit(PATTERNS[label]), F.lit("$1" + ("" if style == "remove" else f"[{label}]")))
+        out = F.when(may_hold(out, label), new).otherwise(out)
     return out
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import clinical as K
@@ -24,72 +25,112 @@ def _sql_values(rows: list[tuple], names: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") v({names})"
 
 
-VITALS = [(1, "BP 120/80 mmHg"), (2, "SpO2 96% on RA"), (3, "temp 37.5 C"), (4, "RR 18/min"), (5, "HR 72 bpm"), (6, "80 bpm"), (7, "no vitals"), (8, "blood pressure is 90/60"), (9, "pulse: 101"), (10, "o2 sat 93")]
+#: Short phrases are built from the columns of ``lineitem``; the oracles work the answers out of the same columns.
+_LINE = "l_orderkey * 10 + l_linenumber AS id, l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q, l_quantity, l_suppkey, l_partkey"
+_LINES = f"(SELECT {_LINE} FROM lineitem)"
 
 
-def _vital_sql() -> str:
-    p = K.PRESSURE
-    cases = "".join(f" WHEN regexp_matches(t, '{rx}') THEN '{kind}'" for kind, rx in K.VITALS)
-    vals = "".join(f" WHEN regexp_matches(t, '{rx}') THEN try_cast(regexp_extract(t, '{rx}', 1) AS DOUBLE)" for _, rx in K.VITALS)
-    units = "".join(f" WHEN regexp_matches(t, '{rx}') THEN regexp_extract(t, '{rx}', 2)" for _, rx in K.VITALS)
-    return f"""SELECT id, CASE WHEN regexp_matches(t, '{p}') THEN 'blood_pressure'{cases} ELSE 'unknown' END AS kind,
-    CASE WHEN regexp_matches(t, '{p}') THEN NULL{vals} END AS value, CASE WHEN regexp_matches(t, '{p}') THEN regexp_extract(t, '{p}', 1)::DOUBLE END AS systolic,
-    CASE WHEN regexp_matches(t, '{p}') THEN regexp_extract(t, '{p}', 2)::DOUBLE END AS diastolic, CASE WHEN regexp_matches(t, '{p}') THEN regexp_extract(t, '{p}', 3){units} ELSE '' END AS unit
-    FROM (SELECT id, lower(trim(phrase)) AS t FROM {_sql_values(VITALS, 'id, phrase')})"""
+def _lines(spark, sf):
+    return table(spark, sf, "lineitem").selectExpr(*_LINE.split(", "))
 
 
-@query(_vital_sql())
-def vitals_parse(spark, sf):
-    return _values(spark, VITALS, "id int, phrase string").select("id", K.vital_sign("phrase").alias("v")).select("id", "v.*")
+def _text(value) -> Column:
+    return F.lit(value) if isinstance(value, str) else value.cast("string")
 
 
-RANGES = [(1, 140.0, "135-145", None), (2, 150.0, "135 to 145 mmol/L", None), (3, 5.0, "<5", None), (4, 5.0, "<=5", None), (5, 11.0, ">10", None), (6, 1.0, "9-3", None), (7, 4.0, "3.5 - 5.1", "H"), (8, 4.0, "3.5-5.1", "zz"), (9, None, "1-2", None), (10, 2.0, "junk", " n ")]
+def _phrase(number: Column, forms: list[tuple]) -> Column:
+    """The form of that number, counted around: each is a tuple of strings and columns to join."""
+    out = F.lit(None).cast("string")
+    for i, parts in enumerate(forms):
+        out = F.when(number % len(forms) == i, F.concat(*map(_text, parts))).otherwise(out)
+    return out
 
 
-@query(f"""WITH r AS (SELECT *, try_cast(nullif(regexp_extract(rng, '{K.RANGE}', 1), '') AS DOUBLE) AS a, try_cast(nullif(regexp_extract(rng, '{K.RANGE}', 2), '') AS DOUBLE) AS b, regexp_extract(rng, '{K.BOUND}', 1) AS op, try_cast(nullif(regexp_extract(rng, '{K.BOUND}', 2), '') AS DOUBLE) AS c FROM {_sql_values(RANGES, 'id, value, rng, stated')})
-SELECT id, CASE WHEN coalesce(upper(trim(stated)), '') <> '' THEN CASE upper(trim(stated)) WHEN 'H' THEN 'high' WHEN 'L' THEN 'low' WHEN 'N' THEN 'normal' ELSE 'unknown' END
-WHEN value IS NULL THEN 'unknown' WHEN a <= b THEN CASE WHEN value < a THEN 'low' WHEN value > b THEN 'high' ELSE 'normal' END
-WHEN op = '<' THEN CASE WHEN value >= c THEN 'high' ELSE 'normal' END WHEN op = '<=' THEN CASE WHEN value > c THEN 'high' ELSE 'normal' END
-WHEN op = '>' THEN CASE WHEN value <= c THEN 'low' ELSE 'normal' END WHEN op = '>=' THEN CASE WHEN value < c THEN 'low' ELSE 'normal' END ELSE 'unknown' END AS flag FROM r""")
-def refrange_flag(spark, sf):
-    r = _values(spark, RANGES, "id int, value double, rng string, stated string").withColumn("r", K.reference_range("rng"))
-    return r.select("id", K.abnormal_flag(F.col("value"), F.col("r"), F.col("stated")).alias("flag"))
+@query(f"""SELECT id, CASE q % 9 WHEN 0 THEN 'blood_pressure' WHEN 1 THEN 'oxygen_saturation' WHEN 2 THEN 'body_temperature' WHEN 3 THEN 'respiratory_rate' WHEN 7 THEN 'unknown' WHEN 8 THEN 'oxygen_saturation' ELSE 'heart_rate' END AS kind,
+CASE WHEN q % 9 IN (0, 7) THEN NULL WHEN q % 9 = 2 THEN q + 0.5 ELSE q END::DOUBLE AS value, CASE WHEN q % 9 = 0 THEN 100 + q END::DOUBLE AS systolic, CASE WHEN q % 9 = 0 THEN 50 + q END::DOUBLE AS diastolic,
+CASE q % 9 WHEN 0 THEN 'mmhg' WHEN 1 THEN '%' WHEN 2 THEN 'c' WHEN 3 THEN '/min' WHEN 4 THEN 'beats per minute' WHEN 6 THEN 'bpm' ELSE '' END AS unit FROM {_LINES}""")
+def vitals_parse(spark, sf):
+    q = F.col("q")
+    forms = [("BP ", q + 100, "/", q + 50, " mmHg lying"), ("SpO2 ", q, "% on RA"), ("Temperature is ", q, ".5 C."), ("RR: ", q, "/min,"), ("pulse ", q, " beats per minute"), ("Heart rate = ", q, " today"), ("resting at ", q, " bpm"), ("weight ", q, " kg, no vitals"), ("O2 sat was ", q)]
+    return _lines(spark, sf).select("id", _phrase(q, forms).alias("phrase")).select("id", K.vital_sign("phrase").alias("v")).select("id", "v.*")
 
 
-SIGS = [(1, "1 tab PO BID x7 days"), (2, "500 mg PO TID x10 days"), (3, "1 tab PO q6h PRN pain"), (4, "2 puffs inhaled daily"), (5, "take as directed"), (6, "5 ml by mouth qid for 2 weeks")]
+@query(f"""SELECT id, CASE WHEN l_linenumber = 7 THEN 'high' WHEN l_linenumber = 6 AND l_suppkey % 2 = 0 THEN 'unknown' ELSE CASE l_suppkey % 7
+WHEN 0 THEN CASE WHEN q < 10 THEN 'low' WHEN q > 30 THEN 'high' ELSE 'normal' END WHEN 1 THEN CASE WHEN q < 12.5 THEN 'low' WHEN q > 40 THEN 'high' ELSE 'normal' END WHEN 2 THEN CASE WHEN q >= 25 THEN 'high' ELSE 'normal' END
+WHEN 3 THEN CASE WHEN q > 25 THEN 'high' ELSE 'normal' END WHEN 4 THEN CASE WHEN q <= 20 THEN 'low' ELSE 'normal' END WHEN 5 THEN CASE WHEN q < 20 THEN 'low' ELSE 'normal' END ELSE 'unknown' END END AS flag FROM {_LINES}""")
+def refrange_flag(spark, sf):
+    forms = [("10-30",), ("12.5 to 40 mmol/L",), ("<25",), (" <= 25 mg/dL",), (">20",), (">=20",), ("30-10",)]
+    stated = F.when(F.col("l_linenumber") == 7, " hh ".replace("hh", "H")).when((F.col("l_linenumber") == 6) & (F.col("l_suppkey") % 2 == 0), "zz")
+    r = _lines(spark, sf).withColumn("t", _phrase(F.col("l_suppkey"), forms)).withColumn("r", K.reference_range("t")).withColumn("stated", stated)
+    return r.select("id", K.abnormal_flag(F.col("l_quantity"), F.col("r"), F.col("stated")).alias("flag"))
 
 
-@query("""SELECT * FROM (VALUES (1, 1.0::DOUBLE, NULL, 'tablet', 'oral', 2.0::DOUBLE, false, 7, ''), (2, 500.0, 'mg', NULL, 'oral', 3.0, false, 10, ''), (3, 1.0, NULL, 'tablet', 'oral', 4.0, true, NULL, ''),
-(4, 2.0, NULL, 'puff', 'inhaled', 1.0, false, NULL, ''), (5, NULL, NULL, NULL, NULL, NULL, false, NULL, 'dose,route,frequency'), (6, 5.0, 'ml', NULL, 'oral', 4.0, false, 14, '')) v(id, dose, unit, form, route, frequency_per_day, as_needed, duration_days, missing)""")
+@query(f"""SELECT id, CASE WHEN f = 4 THEN NULL ELSE q END::DOUBLE AS dose, CASE f WHEN 1 THEN 'mg' WHEN 3 THEN 'ml' END AS unit, CASE f WHEN 0 THEN 'tablet' WHEN 2 THEN 'puff' END AS form,
+CASE f WHEN 0 THEN 'oral' WHEN 1 THEN 'intravenous' WHEN 2 THEN 'inhaled' WHEN 3 THEN 'oral' END AS route, CASE f WHEN 0 THEN 2 WHEN 1 THEN CASE WHEN h > 0 THEN 24.0 / h END WHEN 2 THEN 1 WHEN 3 THEN 4 END::DOUBLE AS frequency_per_day,
+f = 1 AS as_needed, CASE f WHEN 0 THEN q WHEN 3 THEN 7 * q END::INTEGER AS duration_days, CASE WHEN f = 4 THEN 'dose,route,frequency' ELSE '' END AS missing FROM (SELECT id, q, l_suppkey % 5 AS f, l_linenumber AS h FROM {_LINES})""")
 def sig_parse(spark, sf):
-    s = _values(spark, SIGS, "id int, text string").select("id", K.sig("text").alias("s")).select("id", "s.*")
+    q, h = F.col("q"), F.col("l_linenumber")
+    forms = [(q, " tabs PO BID x", q, " days"), (q, " mg IV q", h, "h prn pain"), (q, " puffs inhaled daily"), (q, " ml by mouth qid for ", q, " weeks"), ("as directed, max ", q, " days, before", q)]
+    s = _lines(spark, sf).select("id", _phrase(F.col("l_suppkey"), forms).alias("t")).select("id", K.sig("t").alias("s")).select("id", "s.*")
     return s.withColumn("missing", F.array_join("missing", ","))
 
 
-NEGATIONS = [(1, "no chest pain but has fever", "chest pain", True), (2, "no chest pain but has fever", "fever", False), (3, "no fever, chills, or cough", "chills", True), (4, "pneumonia ruled out", "pneumonia", True), (5, "pneumonia cannot be excluded", "pneumonia", False), (6, "edema absent. cough present", "cough", False), (7, "denies nausea", "nausea", True), (8, "has nausea", "nausea", False), (9, "has nausea", "fever", False)]
+_CUES, _LINKS, _TERMS = ("No", "denies", "without", "has", "cannot be ruled out:"), (", ", " but ", "; ", " and ", ", or "), ("chest pain", "fever", "naïve cough", "edema")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(b).lower()})" for i, _, _, b in NEGATIONS) + ") v(id, negated)")
+@query(f"""SELECT id, c < 3 AS first_negated, (c < 3 AND k = 0) OR tail = 1 AS second_negated, c >= 3 AND tail = 2 AS third_negated FROM (SELECT id, q % 5 AS c, l_suppkey % 5 AS k, l_partkey % 3 AS tail FROM {_LINES})""")
 def negation_scope(spark, sf):
-    return _values(spark, [r[:3] for r in NEGATIONS], "id int, text string, term string").select("id", K.is_negated("text", "term").alias("negated"))
-
-
-CONVERSIONS = [(1, 2.5, "g", "mg"), (2, 98.6, "[degF]", "Cel"), (3, 1.0, "mg", "mL"), (4, 3.0, "unit", "mg"), (5, 2.0, "h", "min"), (6, 0.0, "Cel", "K")]
-
-
-@query("SELECT * FROM (VALUES (1, 2500.0::DOUBLE, 'converted'), (2, 37.0, 'converted'), (3, NULL, 'incommensurable'), (4, NULL, 'unknown_unit'), (5, 120.0, 'converted'), (6, 273.15, 'converted')) v(id, value, status)")
+    """Two findings behind a cue and a link, then perhaps a cue that looks back, and a finding named twice."""
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), (n % len(values)).cast("int"))
+    one, two = pick(_TERMS[:2], F.col("l_linenumber")), pick(_TERMS[2:], F.col("l_linenumber"))
+    back = F.when(F.col("l_partkey") % 3 == 1, F.lit(" ruled out.")).otherwise(F.lit(" today."))
+    again = F.when(F.col("l_partkey") % 3 == 2, F.lit(" Rash absent.")).otherwise(F.lit(" Rash seen. No rash."))
+    stop = F.when((F.col("l_partkey") % 3 == 1) & (F.col("l_suppkey") % 5 == 0), F.lit(". Now ")).otherwise(pick(_LINKS, F.col("l_suppkey")))
+    text = F.concat(pick(_CUES, F.col("q")), F.lit(" "), one, stop, two, back, again)
+    rows = _lines(spark, sf).select("id", "q", text.alias("text"), one.alias("one"), two.alias("two"))
+    return rows.select("id", K.is_negated("text", "one").alias("first_negated"), K.is_negated("text", "two").alias("second_negated"), (K.is_negated("text", F.lit("rash")) & (F.col("q") % 5 >= 3)).alias("third_negated"))
+
+
+@query(f"""SELECT id, CASE l_linenumber WHEN 1 THEN l_quantity * 1000 WHEN 2 THEN (l_quantity - 32) * 5 / 9 WHEN 5 THEN l_quantity * 60 WHEN 6 THEN l_quantity + 273.15 WHEN 7 THEN l_quantity * 2.54 END::DOUBLE AS value,
+CASE l_linenumber WHEN 3 THEN 'incommensurable' WHEN 4 THEN 'unknown_unit' ELSE 'converted' END AS status FROM {_LINES}""")
 def units_convert(spark, sf):
-    u = _values(spark, CONVERSIONS, "id int, v double, a string, b string").select("id", K.convert_unit(F.col("v"), F.col("a"), F.col("b")).alias("c")).select("id", "c.*")
-    return u.withColumn("value", F.round("value", 6))
+    pairs = [("[in_i]", "cm"), ("g", "mg"), ("[degF]", "Cel"), ("mg", "mL"), ("unit", "mg"), ("h", "min"), ("Cel", "K")]
+    a, b = (_phrase(F.col("l_linenumber"), [(p[i],) for p in pairs]) for i in (0, 1))
+    rows = _lines(spark, sf).select("id", "l_quantity", a.alias("a"), b.alias("b"))
+    return rows.select("id", K.convert_unit(F.col("l_quantity"), F.col("a"), F.col("b")).alias("c")).select("id", F.round("c.value", 6).alias("value"), "c.status")
 
 
-IDS = [(1, "123-45-6789", "4111111111111111", "1234567893", "GB82 WEST 1234 5698 7654 32", "236"), (2, "000-12-3456", "4111111111111112", "1234567890", "GB82 WEST 1234 5698 7654 33", "237"), (3, "666-12-3456", "12", "12345", "x", ""), (4, "123-00-6789", "5500005555555559", "1245319599", "DE89370400440532013000", "12345 1")]
+_LUHN_SUM = "list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN (len(d) - i) % 2 = 0 THEN substr(d, i, 1)::INT WHEN substr(d, i, 1)::INT > 4 THEN substr(d, i, 1)::INT * 2 - 9 ELSE substr(d, i, 1)::INT * 2 END)) % 10 = 0"
+_VERHOEFF = f"""list_reduce(list_prepend(0, list_transform(range(0, 12), lambda i: {[[int(c) for c in r] for r in V.VERHOEFF_P]}[i % 8 + 1][substr(reverse(e), i + 1, 1)::INT + 1])), lambda acc, x: {[[int(c) for c in r] for r in V.VERHOEFF_D]}[acc + 1][x + 1]) = 0"""
 
 
-@query("SELECT * FROM (VALUES (1, true, true, true, true, true), (2, false, false, false, false, false), (3, false, false, false, false, false), (4, false, true, true, true, true)) v(id, ssn, card, npi, iban, verhoeff)")
+@query(f"""SELECT id, substr(a, 1, 3) NOT IN ('000', '666') AND substr(a, 1, 1) <> '9' AND substr(a, 4, 2) <> '00' AND substr(a, 6, 4) <> '0000' AS ssn, (SELECT {_LUHN_SUM} FROM (SELECT b AS d)) AS card, (SELECT {_LUHN_SUM} FROM (SELECT '80840' || c AS d)) AS npi, (c || '1611' || '00')::HUGEINT % 97 = 98 - k::INT AS iban, {_VERHOEFF} AS verhoeff
+FROM (SELECT id, lpad((id * 7919 % 1000000000)::VARCHAR, 9, '0') AS a, lpad((id * 104729)::VARCHAR, 16, '4') AS b, lpad((id * 31 % 10000000000)::VARCHAR, 10, '1') AS c, lpad((id % 96 + 2)::VARCHAR, 2, '0') AS k, lpad((id * 17)::VARCHAR, 12, '2') AS e FROM {_LINES})""")
 def identifier_checks(spark, sf):
-    d = _values(spark, IDS, "id int, a string, b string, c string, d string, e string")
-    return d.select("id", V.ssn("a").alias("ssn"), V.card("b").alias("card"), V.npi("c").alias("npi"), V.iban("d").alias("iban"), V.verhoeff("e").alias("verhoeff"))
+    digits = lambda c, n, fill: F.lpad(c.cast("string"), n, fill)
+    i = F.col("id")
+    a, c = digits(i * 7919 % 1000000000, 9, "0"), digits(i * 31 % 10000000000, 10, "1")
+    iban = F.concat(F.lit("GB"), digits(i % 96 + 2, 2, "0"), F.lit(" "), F.substring(c, 1, 4), F.lit("-"), F.substring(c, 5, 6))
+    return _lines(spark, sf).select("id", V.ssn(F.concat(F.substring(a, 1, 3), F.lit("-"), F.substring(a, 4, 2), F.lit("-"), F.substring(a, 6, 4))).alias("ssn"), V.card(digits(i * 104729, 16, "4")).alias("card"), V.npi(c).alias("npi"), V.iban(iban).alias("iban"), V.verhoeff(digits(i * 17, 12, "2")).alias("verhoeff"))
+
+
+@query(f"""SELECT id, CASE l_partkey % 4 WHEN 0 THEN 'family' WHEN 1 THEN 'other' ELSE 'patient' END AS experiencer, CASE l_suppkey % 4 WHEN 0 THEN 'mild' WHEN 1 THEN 'severe' END AS severity, CASE l_linenumber % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'bilateral' END AS laterality FROM {_LINES}""")
+def span_modifiers(spark, sf):
+    """Whose, how grave and on which side: words near a span in its sentence."""
+    n = lambda c, k: F.col(c) % k
+    who = F.when(n("l_partkey", 4) == 0, "Her mother had ").when(n("l_partkey", 4) == 1, "The donor had ").when(n("l_partkey", 4) == 2, "Father. Patient has ").otherwise("Reports ")
+    how = F.when(n("l_suppkey", 4) == 0, "slight ").when(n("l_suppkey", 4) == 1, "marked ").otherwise("")
+    side = F.when(n("l_linenumber", 3) == 0, " on the left").when(n("l_linenumber", 3) == 1, " of both sides").otherwise("; right hip fine")
+    head = F.concat(who, how)
+    rows = _lines(spark, sf).select("id", F.concat(head, F.lit("swelling"), side, F.lit(". Severe pain elsewhere, right.")).alias("text"), F.char_length(head).alias("a"), (F.char_length(head) + 8).alias("b"))
+    return rows.select("id", *(f("text", F.col("a"), F.col("b")).alias(f.__name__) for f in (K.experiencer, K.severity, K.laterality)))
+
+
+@query("""SELECT event_id, 'event type' AS key, event_type AS value, 0 AS line FROM events UNION ALL SELECT event_id, 'user', 'no. ' || user_id, 2 FROM events UNION ALL SELECT event_id, 'value', CAST(user_id AS VARCHAR) || ' = ' || event_id, 3 FROM events""")
+def form_fields(spark, sf):
+    e = table(spark, sf, "events")
+    text = F.concat(F.lit("Event Type: "), "event_type", F.lit("\njust a line without fields\n  user =  no. "), F.col("user_id").cast("string"), F.lit(" \nValue: "), F.col("user_id").cast("string"), F.lit(" = "), F.col("event_id").cast("string"), F.lit("\n: none\nempty:"))
+    return e.select("event_id", F.explode(K.key_values(text)).alias("f")).select("event_id", "f.key", "f.value", "f.line")
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS lines, count(*) FILTER (length(trim(line, ' ')) > 0) AS full_lines FROM l GROUP BY doc_id""")

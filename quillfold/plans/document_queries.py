@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import documents as D
 from ..operators import policy as P
 from ..operators import spans as S
+from . import text_queries as T
 from .registry import query, table
 
 _POINTS = [(0.0, 0.1), (0.5, 0.4), (1.0, 0.9)]
@@ -18,13 +19,17 @@ def calibration_apply(spark, sf):
     return d.select("doc_id", F.round(P.calibrated("s", _POINTS), 6).alias("calibrated"))
 
 
-_OLD, _NEW = [("EMAIL", "mask"), ("URL", "keep"), ("SSN", "remove"), ("ZIP", "hash")], [("EMAIL", "hash"), ("URL", "keep"), ("SSN", "mask"), ("MRN", "hash")]
+_ACTIONS = ("keep", "shift", "generalize", "mask", "hash", "replace", "remove")
 
 
-@query("SELECT * FROM (VALUES ('EMAIL', 'mask', 'hash', 'stronger'), ('SSN', 'remove', 'mask', 'weaker'), ('MRN', NULL, 'hash', 'added'), ('ZIP', 'hash', NULL, 'removed')) v(label, before, after, change)")
+@query(f"""WITH b AS (SELECT p_partkey AS label, {list(_ACTIONS)}[p_size % 7 + 1] AS before, p_size % 7 AS x FROM part WHERE p_partkey % 5 > 0), a AS (SELECT p_partkey AS label, {list(_ACTIONS)}[p_partkey % 7 + 1] AS after, p_partkey % 7 AS y FROM part WHERE p_partkey % 3 > 0)
+SELECT label::VARCHAR AS label, before, after, CASE WHEN before IS NULL THEN 'added' WHEN after IS NULL THEN 'removed' WHEN y > x THEN 'stronger' ELSE 'weaker' END AS change FROM b FULL JOIN a USING (label) WHERE before IS DISTINCT FROM after""")
 def policy_diff(spark, sf):
-    make = lambda rows: spark.createDataFrame(rows, "label string, action string")
-    return P.diff(make(_OLD), make(_NEW))
+    """Two policies over a label for each part: actions by size, and by key."""
+    p = table(spark, sf, "part")
+    action = lambda n: F.get(F.array(*map(F.lit, _ACTIONS)), (n % 7).cast("int"))
+    make = lambda rows, n: rows.select(F.col("p_partkey").cast("string").alias("label"), action(F.col(n)).alias("action"))
+    return P.diff(make(p.where("p_partkey % 5 > 0"), "p_size"), make(p.where("p_partkey % 3 > 0"), "p_partkey"))
 
 
 @query("SELECT l_orderkey, CASE max(CASE l_returnflag WHEN 'R' THEN 7 WHEN 'A' THEN 5 ELSE 4 END) WHEN 7 THEN 'remove' WHEN 5 THEN 'hash' ELSE 'mask' END AS action FROM lineitem GROUP BY l_orderkey")
@@ -39,11 +44,12 @@ def consent_gate(spark, sf):
     return P.consented(table(spark, sf, "orders"), consent, "o_custkey", "research").select("o_orderkey")
 
 
-@query("""WITH t AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS term FROM benchmark WHERE item_id < 3), d AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS term FROM documents)
-SELECT DISTINCT doc_id, d.term, 'WATCH' AS label FROM d JOIN (SELECT DISTINCT term FROM t WHERE length(term) >= 9) x ON x.term = d.term WHERE d.term NOT IN (SELECT term FROM t WHERE item_id = 0)""")
+@query("""WITH t AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS term FROM benchmark), d AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS term FROM documents)
+SELECT doc_id, d.term, 'WATCH' AS label FROM d JOIN t USING (term) WHERE length(term) >= 9 AND NOT regexp_matches(term, '^[a-e]')""")
 def custom_recognizer(spark, sf):
-    words = table(spark, sf, "benchmark").where("item_id < 3").select("item_id", F.explode(F.split(F.lower("text"), "[^a-z0-9_]+")).alias("term"))
-    terms = words.where("length(term) >= 9").select("term", F.lit("WATCH").alias("label"), F.lit(False).alias("allowed")).unionByName(words.where("item_id = 0").select("term", F.lit("WATCH").alias("label"), F.lit(True).alias("allowed")))
+    """Long words of all benchmark items, those that begin with a to e allowed."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z0-9_]+")).alias("term")).where("length(term) >= 9")
+    terms = words.select("term", F.lit("WATCH").alias("label"), F.lit(False).alias("allowed")).unionByName(words.where("term RLIKE '^[a-e]'").select("term", F.lit("WATCH").alias("label"), F.lit(True).alias("allowed")))
     return P.custom_terms(table(spark, sf, "documents"), terms).select("doc_id", "term", "label")
 
 
@@ -91,9 +97,15 @@ def run_report(spark, sf):
     return D.shard_report(o)
 
 
-@query()
+_FOUND = {x: T.places(x) for x in ("EMAIL", "CARD", "IPV4", "PHONE")}
+_SCORED = """SELECT s.doc_id, label, CASE label WHEN 'EMAIL' THEN 0.95 WHEN 'CARD' THEN 0.75 WHEN 'IPV4' THEN 0.85 ELSE 0.7 END + CASE WHEN regexp_matches(lower(substr(text, greatest("start" - 39, 1)::INT, ("end" - "start" + 80)::INT)), CASE label WHEN 'EMAIL' THEN 'mail|contact' WHEN 'CARD' THEN 'card|visa|credit' WHEN 'IPV4' THEN 'ip|host|server' ELSE 'phone|tel|call|fax' END) THEN 0.1 ELSE 0 END AS score FROM ({0}) s JOIN documents USING (doc_id)"""
+
+
+@query(f"""WITH c AS ({_SCORED.format(_FOUND["EMAIL"] + " UNION ALL " + _FOUND["CARD"])}), sure AS (SELECT doc_id FROM c GROUP BY doc_id HAVING min(least(1, score)) >= 0.8),
+e AS ({_SCORED.format(" UNION ALL ".join(_FOUND.values()))})
+SELECT 'cheap' AS stage, label, count(*) AS n FROM c GROUP BY label UNION ALL SELECT 'dear', label, count(*) FROM e WHERE doc_id NOT IN (SELECT doc_id FROM sure) GROUP BY label""")
 def cascade_spans(spark, sf):
-    """Cheap patterns first; documents with an unsure span go to the full set."""
+    """Cheap patterns first; documents with an unsure span, or none, go to the full set."""
     d = table(spark, sf, "documents")
     out = P.cascade(d, lambda x: S.detect(x, ["EMAIL", "CARD"]), lambda x: S.detect(x, ["EMAIL", "CARD", "IPV4", "PHONE"]), 0.8)
-    return out.groupBy("label").agg(F.count("*").alias("n"))
+    return out.groupBy("stage", "label").agg(F.count("*").alias("n"))

@@ -197,11 +197,11 @@ def shard_assign(spark, sf):
     return table(spark, sf, "documents").select("doc_id", H.shard_of("doc_id", 64).alias("shard"))
 
 
-@query(f"""SELECT shard, count(*) AS n, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS fingerprint
-FROM (SELECT doc_id, CAST({_hex(16, 'd')} AS INTEGER) AS shard FROM (SELECT doc_id, sha256('docs:' || doc_id::VARCHAR) AS d FROM documents)) GROUP BY shard""")
+@query(f"""SELECT shard, count(*) AS n, sha256(concat_ws(':', count(*), bit_xor(('0x' || substr(d, 1, 15))::BIGINT), bit_xor(('0x' || substr(d, 16, 15))::BIGINT), sum(('0x' || substr(d, 31, 8))::BIGINT)::BIGINT)) AS fingerprint
+FROM (SELECT doc_id, d, CAST({_hex(16, 'd')} AS INTEGER) AS shard FROM (SELECT doc_id, sha256('docs:' || doc_id::VARCHAR) AS d FROM documents)) GROUP BY shard""")
 def shard_fingerprint(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", H.shard_of("doc_id", 16).alias("shard"))
-    return rows.groupBy("shard").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").cast("binary"), 256).alias("fingerprint"))
+    rows = table(spark, sf, "documents").select("doc_id", H.shard_of("doc_id", 16).alias("shard"), H.record_digest("doc_id").alias("d"))
+    return rows.groupBy("shard").agg(F.count("*").alias("n"), H.set_fingerprint("d").alias("fingerprint"))
 
 
 @query("SELECT o_orderkey, (('0x' || substr(d, 1, 8))::BIGINT & 2147483647) * 4294967296 + ('0x' || substr(d, 9, 8))::BIGINT AS key FROM (SELECT o_orderkey, sha256('orders' || chr(31) || o_orderkey::VARCHAR) AS d FROM orders)")

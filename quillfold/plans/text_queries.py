@@ -49,12 +49,7 @@ _ALL = " UNION ALL ".join(f"SELECT doc_id, '{x}' AS label, surface FROM ({_found
 
 @query(f"SELECT lang, label, count(*) AS n FROM ({_ALL}) JOIN documents USING (doc_id) GROUP BY CUBE (lang, label)")
 def pii_counts_by_lang(spark, sf):
-    docs = _docs(spark, sf)
-    found = None
-    for x in _LABELS:
-        one = docs.select("lang", F.explode(S.surfaces("text", x)).alias("surface")).select("lang", F.lit(x).alias("label"))
-        found = one if found is None else found.unionByName(one)
-    return S.span_counts(found, "lang", "label").drop("gid")
+    return S.match_counts(_docs(spark, sf), _LABELS, "lang")
 
 
 def _masked(expr: str, labels: list[str], style: str) -> str:
@@ -73,7 +68,7 @@ def redact_remove(spark, sf):
     return _docs(spark, sf).select("doc_id", F.char_length(S.mask_by_patterns("text", _LABELS, "remove")).cast("long").alias("chars_left"))
 
 
-def _places(label: str) -> str:
+def places(label: str) -> str:
     """Spans of a label in SQL: each match is split off from what is left of the text."""
     p = _sql(S.PATTERNS[label])
     return f"""SELECT doc_id, list_sum(list_transform(whole[1:i], lambda m: length(m))) + list_sum(list_transform(gaps[1:i], lambda g: length(g))) - length(inner_[i]) AS "start",
@@ -82,16 +77,16 @@ def _places(label: str) -> str:
         SELECT doc_id, regexp_extract_all(text, '{p}', 0) AS whole, regexp_extract_all(text, '{p}', 2) AS inner_, regexp_split_to_array(text, '{p}') AS gaps FROM documents))"""
 
 
-@query(f'SELECT doc_id, CAST("start" AS INTEGER) AS "start", CAST("end" AS INTEGER) AS "end", label, surface FROM ({_places("EMAIL")} UNION ALL {_places("URL")} UNION ALL {_places("IPV4")})')
+@query(f'SELECT doc_id, CAST("start" AS INTEGER) AS "start", CAST("end" AS INTEGER) AS "end", label, surface FROM ({places("EMAIL")} UNION ALL {places("URL")} UNION ALL {places("IPV4")})')
 def span_offsets(spark, sf):
     return S.detect(_docs(spark, sf), ["EMAIL", "URL", "IPV4"], validate=False).select("doc_id", "start", "end", "label", "surface")
 
 
 def _valid_spans(spark, sf):
-    return S.detect(_docs(spark, sf), ["EMAIL", "PHONE", "IPV4", "CARD", "URL"], validate=False)
+    return S.detect(_docs(spark, sf), _LABELS, validate=False)
 
 
-_SPANS = "SELECT * FROM (" + " UNION ALL ".join(_places(x) for x in _LABELS) + ")"
+_SPANS = "SELECT * FROM (" + " UNION ALL ".join(places(x) for x in _LABELS) + ")"
 _RANKED = f"""WITH s AS (SELECT *, CASE label {" ".join(f"WHEN '{n}' THEN {r}" for n, r, _ in S.POLICY)} ELSE 0 END AS rank FROM ({_SPANS})),
 o AS (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
 c AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS cluster FROM o)"""
@@ -99,8 +94,16 @@ c AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" >= reach THEN 1 ELSE 0 EN
 
 @query(_RANKED + """ SELECT doc_id, CAST("start" AS INTEGER) AS "start", CAST("end" AS INTEGER) AS "end", label FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, cluster ORDER BY rank DESC, "end" - "start" DESC, "start", label DESC) AS r FROM c) WHERE r = 1""")
 def arbitrate_balanced(spark, sf):
-    flat = _valid_spans(spark, sf).withColumn("score", F.lit(0.5))
-    return S.arbitrate_balanced(flat).select("doc_id", "start", "end", "label")
+    """Arbitration within the row, of spans that all score alike."""
+    flat = F.transform("spans", lambda s: s.withField("score", F.lit(0.5)))
+    found = S.with_spans(_docs(spark, sf).select("doc_id", "text"), "spans", _LABELS, validate=False).select("doc_id", flat.alias("spans"))
+    return found.select("doc_id", F.explode(S.winners("spans")).alias("s")).select("doc_id", "s.start", "s.end", "s.label")
+
+
+@query(_RANKED + """ SELECT doc_id, CAST("start" AS INTEGER) AS "start", CAST("end" AS INTEGER) AS "end", label FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, cluster ORDER BY rank DESC, "end" - "start" DESC, "start", label DESC) AS r FROM c) WHERE r = 1""")
+def arbitrate_span_table(spark, sf):
+    """The same arbitration of a table of spans, as of several detectors."""
+    return S.arbitrate_balanced(_valid_spans(spark, sf).withColumn("score", F.lit(0.5))).select("doc_id", "start", "end", "label")
 
 
 @query(f'SELECT DISTINCT doc_id, CAST("start" AS INTEGER) AS "start", CAST("end" AS INTEGER) AS "end", label FROM ({_SPANS})')
@@ -140,13 +143,66 @@ def redact_hash_labels(spark, sf):
     return spans.select("doc_id", S.replacement().alias("replacement"))
 
 
-@query()
+_OCTETS = "list_min(list_transform(string_split(surface, '.'), lambda o: CASE WHEN o::INT <= 255 THEN 1 ELSE 0 END)) = 1"
+_DIGITS = "regexp_replace(surface, '[^0-9]', '', 'g')"
+_VALID = f"""SELECT * FROM ({_SPANS}) WHERE label IN ('EMAIL', 'URL') OR (label = 'CARD' AND {_LUHN}) OR (label = 'IPV4' AND {_OCTETS}) OR (label = 'PHONE' AND regexp_matches({_DIGITS}, '^[2-9][0-9]{{2}}[2-9][0-9]{{6}}$'))"""
+
+
+def _spliced(replacement: str, rows: str = _VALID) -> str:
+    """The whole path in SQL: valid spans, the winner of each cluster, its replacement, the text put together again."""
+    return _RANKED.replace(_SPANS, rows) + f""", w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, cluster ORDER BY rank DESC, "end" - "start" DESC, "start", label DESC) AS r FROM c) WHERE r = 1),
+g AS (SELECT doc_id, "start", "end", {replacement} AS new, coalesce(lag("end") OVER (PARTITION BY doc_id ORDER BY "start"), 0) AS before FROM w),
+t AS (SELECT doc_id, count(*) AS n, max("end") AS last, string_agg(substr(text, CAST(before + 1 AS BIGINT), CAST("start" - before AS BIGINT)) || new, '' ORDER BY "start") AS head FROM g JOIN documents USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_spans, sha256(CASE WHEN n IS NULL THEN text ELSE head || substr(text, CAST(last + 1 AS BIGINT)) END) AS redacted_sha256 FROM documents LEFT JOIN t USING (doc_id)"""
+
+
+@query(_spliced("CASE label WHEN 'CARD' THEN 'CARD_' || substr(sha256(surface), 1, 8) WHEN 'URL' THEN surface ELSE '[' || label || ']' END"))
 def deidentify_documents(spark, sf):
-    """The whole flagship path; tests hold it against a plain re-implementation."""
+    """The whole flagship path."""
     out = S.deidentify(_docs(spark, sf), _LABELS)
     return out.select("doc_id", "n_spans", F.sha2(F.col("redacted").cast("binary"), 256).alias("redacted_sha256"))
 
 
+@query(_spliced("''"))
+def deidentify_remove(spark, sf):
+    out = S.deidentify(_docs(spark, sf), _LABELS, method="remove")
+    return out.select("doc_id", "n_spans", F.sha2(F.col("redacted").cast("binary"), 256).alias("redacted_sha256"))
+
+
+_KEY = b"example key"
+
+
+def _hmac_sql(message: str) -> str:
+    """HMAC-SHA-256 in DuckDB, in hexadecimal."""
+    key = _KEY.ljust(64, b"\0")
+    pad = lambda x: f"from_hex('{bytes(b ^ x for b in key).hex()}')"
+    return f"sha256({pad(0x5C)} || unhex(sha256({pad(0x36)} || encode({message}))))"
+
+
+_SURROGATE = f"""(SELECT CASE label WHEN 'EMAIL' THEN 'user.' || substr(d, 1, 10) || '@example.org' WHEN 'URL' THEN 'https://example.org/' || substr(d, 1, 12)
+  ELSE '198.' || (('0x' || substr(d, 1, 2))::INT % 2 + 18) || '.' || ('0x' || substr(d, 3, 2))::INT || '.' || ('0x' || substr(d, 5, 2))::INT END
+  FROM (SELECT {_hmac_sql("label || chr(31) || source || chr(31) || surface")} AS d))"""
+
+
+@query(_spliced(_SURROGATE.replace("source", "(SELECT source FROM documents s WHERE s.doc_id = w.doc_id)"), f"SELECT * FROM ({_VALID}) WHERE label IN ('EMAIL', 'URL', 'IPV4')"))
+def deidentify_replace(spark, sf):
+    """Surrogates of the same kind, the same for equal surfaces of a source."""
+    out = S.deidentify(_docs(spark, sf), ["EMAIL", "URL", "IPV4"], method="replace", secret=_KEY, subject_col="source")
+    return out.select("doc_id", "n_spans", F.sha2(F.col("redacted").cast("binary"), 256).alias("redacted_sha256"))
+
+
+_OFFSET = f"""(SELECT CASE WHEN b < 30 THEN b - 30 ELSE b - 29 END FROM (SELECT CAST(list_reduce(list_prepend(0::BIGINT, list_transform(range(0, 8), lambda k: ('0x' || substr(d, 8 * k + 1, 8))::BIGINT)), lambda a, x: (a * 4294967296 % 60 + x) % 60) AS INTEGER) AS b FROM (SELECT {_hmac_sql("l_suppkey::VARCHAR")} AS d)))"""
+
+
+@query(f"""SELECT doc_id, 'Seen on ' || CAST(a + o AS VARCHAR) || ', due ' || CAST(a + 14 + o AS VARCHAR) || '; not [DATE].' AS redacted
+FROM (SELECT l_orderkey * 10 + l_linenumber AS doc_id, CAST(l_shipdate AS DATE) AS a, o FROM lineitem JOIN (SELECT l_suppkey, {_OFFSET} AS o FROM (SELECT DISTINCT l_suppkey FROM lineitem)) USING (l_suppkey))""")
+def deidentify_shift(spark, sf):
+    """Dates inside texts, moved by their subject's days; what is no date is masked."""
+    day = F.col("l_shipdate").cast("date")
+    notes = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("doc_id"), "l_suppkey", F.concat(F.lit("Seen on "), day.cast("string"), F.lit(", due "), F.date_add(day, 14).cast("string"), F.lit("; not 2020-13-45.")).alias("text"))
+    return S.deidentify(notes, ["DATE"], secret=_KEY, subject_col="l_suppkey", max_days=30).select("doc_id", "redacted")
+
+
 _TRACE = _masked("text", ["EMAIL", "URL", "IPV4"], "mask")
 
 
@@ -263,32 +319,30 @@ def dup_exact(spark, sf):
 
 
 _NORM = "trim(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'))"
-_SHORT = f"""WITH d AS (SELECT doc_id, source || lang AS block, list_distinct(list_transform(range(1, greatest(length(t) - 4, 1) + 1), lambda i: substr(t, i, 5))) AS s FROM (SELECT *, {_NORM} AS t FROM documents WHERE n_chars < 600))"""
+#: Character shingles of each class of equal normalised texts, over all documents and whole texts.
+_SHINGLES = f"""WITH d AS (SELECT doc_id, {_NORM} AS t FROM documents WHERE text IS NOT NULL), c AS (SELECT t, min(doc_id) AS class_id FROM d GROUP BY t),
+x AS (SELECT class_id, len(s) AS n, unnest(s) AS g FROM (SELECT class_id, list_distinct(list_transform(range(1, greatest(length(t) - 4, 1) + 1), lambda i: hash(substr(t, i, 5)))) AS s FROM c))"""
 
 
-@query(_SHORT + """, x AS (SELECT doc_id, block, len(s) AS n, unnest(s) AS g FROM d)
-SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, a.n AS size_a, b.n AS size_b, round(count(*) / (a.n + b.n - count(*)), 6) AS jaccard FROM x a JOIN x b ON a.block = b.block AND a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n""")
+@query(_SHINGLES + """, p AS (SELECT a.class_id, b.class_id AS other FROM x a JOIN x b ON a.g = b.g AND a.class_id <> b.class_id AND least(a.n, b.n) >= 0.92 * greatest(a.n, b.n) GROUP BY a.class_id, b.class_id, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.92),
+l AS (SELECT class_id, count(*) AS n_links FROM p GROUP BY class_id)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM d JOIN c USING (t) LEFT JOIN l USING (class_id)""")
 def dup_jaccard(spark, sf):
-    """Versions of short notes: documents under 600 characters of one source and language."""
-    d = _docs(spark, sf).where("n_chars < 600").withColumn("block", F.concat("source", "lang"))
-    return L.similar_pairs(d, d).withColumn("jaccard", F.round("jaccard", 6)).select("a", "b", "shared", F.col("size_a").cast("long").alias("size_a"), F.col("size_b").cast("long").alias("size_b"), "jaccard")
+    """Each document's class of equal texts, and how many other classes are near copies of it."""
+    return L.near_copies(_docs(spark, sf))
 
 
-@query(_SHORT + """, x AS (SELECT doc_id, block, len(s) AS n, unnest(s) AS g FROM d),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, a.n AS na, b.n AS nb FROM x a JOIN x b ON a.block = b.block AND a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT a, b, CASE WHEN nb > na AND shared / na >= 0.6 THEN 'amendment' WHEN shared / (na + nb - shared) >= 0.92 THEN 'near_duplicate' ELSE 'none' END AS relation FROM p""")
+@query(_SHINGLES + """, p AS (SELECT a.class_id AS a, b.class_id AS b FROM x a JOIN x b ON a.g = b.g AND a.class_id < b.class_id AND b.n > a.n GROUP BY a.class_id, b.class_id, a.n HAVING count(*) / a.n >= 0.6),
+m AS (SELECT b AS class_id, count(*) AS n_amends FROM p GROUP BY b), n AS (SELECT a AS class_id, count(*) AS n_amended FROM p GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_amends, 0) AS n_amends, coalesce(n_amended, 0) AS n_amended FROM d JOIN c USING (t) LEFT JOIN m USING (class_id) LEFT JOIN n USING (class_id)""")
 def amendment_containment(spark, sf):
-    d = _docs(spark, sf).where("n_chars < 600").withColumn("block", F.concat("source", "lang"))
-    p = L.similar_pairs(d, d)
-    return L.classify_versions(p, F.lit(True), F.col("size_b") > F.col("size_a"), F.col("shared") / F.col("size_a")).select("a", "b", "relation")
+    """How many earlier documents each one amends, and how many later ones amend it."""
+    return L.amendment_counts(_docs(spark, sf))
 
 
 @query()
 def version_links(spark, sf):
-    """Near copies and amendments among all documents and their whole texts; tests hold it against brute force.
-
-    ``dup_jaccard`` and ``amendment_containment`` show the operators on the short notes that their SQL can afford.
-    """
+    """Near copies and amendments as pairs; tests hold it against brute force."""
     p = L.version_pairs(_docs(spark, sf))
     return p.withColumn("jaccard", F.round("jaccard", 6))
 
