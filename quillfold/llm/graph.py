@@ -1,41 +1,7 @@
-"""Connected components of a graph held in tables, by alternating large and small stars.
-
-Each round joins every node to the least node that it sees; rounds needed grow with the logarithm of the graph. Rounds
-are written to the shared folder, so lineage stays short and a lost executor costs a re-read. A node with very many
-links is never gathered: minima are combined before the shuffle, and the joins may split its rows.
-"""
+"""Connected components, from the library's own operator."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .work import discard, spool
-
-
-def _state(edges: DataFrame) -> tuple[int, int]:
-    r = edges.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()
-    return r["n"], r["x"]
-
+from ..operators.graph import components
 
-def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
-    """node, root: each node of the edges with the least node of its component. Self links and repeated links are allowed."""
-    e = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct()
-    e = spool(e)
-    state = _state(e)
-    while state[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = spool(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
-        after = spool(small)
-        discard(e, large)
-        new = _state(after)
-        e = after
-        if new == state:
-            break
-        state = new
-    stars = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+__all__ = ["components"]

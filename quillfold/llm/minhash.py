@@ -16,24 +16,26 @@
 
 With bands of 6 rows and 40 bands, a pair at similarity 0.8 shares no bucket with probability 6e-6.
 
-Defined cases: null, empty and (by ``whole_short``) blank texts have an empty set and are linked with nothing; a text of
-fewer words than a shingle is one shingle; rows that share a doc_id count as one document; a row without doc_id is
-linked with nothing and has no component; an empty table gives an empty result; other columns are ignored.
+Defined cases: null, empty and blank texts have an empty set and are linked with nothing; a text of fewer words than a
+shingle is one shingle; rows that share a doc_id are one document with all their sets, so what links to any of them links
+to it, and each row gives its own n_shingles; a row without doc_id is linked with nothing and has no component; very long
+texts are handled whole, a document at a time; an empty table gives an empty result; other columns, whatever their names,
+are ignored. Ids may be of any type that can be ordered. Of a group the least id stays; of rows with one id and one set,
+that with the least text digest.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .work import discard, prepare, spool
+from .work import discard, prepare, quoted, spool, spread_join, unused
 
 UNIVERSE = 1 << 20
 ROWS, BANDS = 6, 40
@@ -86,7 +88,8 @@ def signature(keys: np.ndarray, width: int = ROWS * BANDS) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """doc_id, n_shingles, key (digest of the set), bands (bucket keys), sketch (a byte of each coordinate)."""
+    """doc_id, text_key (digest of the text), n_shingles, key (digest of the set), bands (bucket keys), sketch (a byte of
+    each coordinate)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -113,9 +116,19 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                     bands.append(h.view(np.int64))
                     sketches.append(sig.astype(np.uint8).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "key", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "text_key", "n_shingles", "key", "bands", "sketch"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<long>, sketch binary")
+    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"), text_key(quoted(text_col)).alias("text_key"))
+    return rows.mapInArrow(run, f"doc_id {id_type(docs, id_col)}, text_key long, n_shingles long, key binary, bands array<long>, sketch binary")
+
+
+def id_type(docs: DataFrame, id_col: str) -> str:
+    return docs.schema[id_col].dataType.simpleString()
+
+
+def text_key(text: Column) -> Column:
+    """Tells rows that share a doc_id apart."""
+    return F.coalesce(F.xxhash64(text), F.lit(0))
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -140,12 +153,14 @@ def candidate_edges(reps: DataFrame, similarity: float, rounds: int = 2) -> Data
     sure = similarity + MARGIN * (similarity * (1 - similarity) / n) ** 0.5
     far = 1 - 2 * (1 - similarity)
     loose = far - MARGIN * (far * (1 - far) / n) ** 0.5
-    sketches = reps.select("doc_id", "sketch")
-    members = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("m"))
+    # A document of several sets is any of them here; its links are verified set by set.
+    sketches = reps.groupBy("doc_id").agg(F.min("sketch").alias("sketch"))
+    members = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("m")).distinct()
     kept = []
     for turn in range(rounds + 1):
-        heads = members.groupBy("bucket").agg(F.min("m").alias("p"), F.count("*").alias("n")).where("n > 1")
-        starred = members.join(heads, "bucket").where("m <> p")
+        heads = spool(members.groupBy("bucket").agg(F.min("m").alias("p"), F.count("*").alias("n")).where("n > 1"))
+        total = heads.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+        starred = spread_join(members, heads, "bucket", "n", total).where("m <> p")
         if turn == rounds:
             kept.append(starred.select(F.col("p").alias("u"), F.col("m").alias("v")).distinct())
             break
@@ -206,7 +221,7 @@ def verified_links(clusters: DataFrame, weights: DataFrame, docs: DataFrame, id_
     # Block b meets every block at or after it; a document goes to each meeting of its block.
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("o")
     ids = spool(placed.select(F.col("node").alias("id"), "root", "b", "blocks"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    texts = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).where("id IS NOT NULL")
     rows = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id")
     rows = rows.select("id", "text", "root", "b", other)
     rows = rows.select("root", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "id", "text")
@@ -214,37 +229,56 @@ def verified_links(clusters: DataFrame, weights: DataFrame, docs: DataFrame, id_
     def run(key, table):
         names = table.column("id").to_pylist()
         found = block_links([shingles(t, words) for t in table.column("text").to_pylist()], similarity)
-        return pa.table({"u": pa.array([names[i] for i, _ in found], pa.int64()), "v": pa.array([names[j] for _, j in found], pa.int64())})
+        kind = table.column("id").type
+        return pa.table({"u": pa.array([names[i] for i, _ in found], kind), "v": pa.array([names[j] for _, j in found], kind)})
 
-    return rows.groupBy("root", "i", "j").applyInArrow(run, "u long, v long")
+    kind = id_type(docs, id_col)
+    return rows.groupBy("root", "i", "j").applyInArrow(run, f"u {kind}, v {kind}")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id of its component), kept: a row for each row of the input."""
-    os.environ.setdefault("OMP_NUM_THREADS", "1")
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and (node, root) of the linked documents."""
     prepare(docs.sparkSession)
-    signed = spool(signatures(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", words))
+    signed = spool(signatures(docs, id_col, text_col, words))
     usable = signed.where("key IS NOT NULL AND doc_id IS NOT NULL")
     classes = spool(usable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("key", "rep"))
-    copies = usable.select("doc_id", "key").join(classes, "key").where("doc_id <> rep").select("doc_id", "rep")
-    copies = spool(copies)
-    reps = usable.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
-    edges = candidate_edges(reps, similarity)
-    clusters = components(edges)
+    # Only rows of this very set are copies; a document's other sets go on.
+    copies = spool(usable.select("doc_id", "key").join(classes, "key").where("doc_id <> rep").select("doc_id", "rep", "key").distinct())
+    reps = usable.join(copies.select("doc_id", "key"), ["doc_id", "key"], "left_anti")
+    clusters = components(candidate_edges(reps, similarity))
     links = verified_links(clusters, usable.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), docs, id_col, text_col, words, similarity)
-    found = components(links.unionByName(copies.select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))))
+    return signed, components(links.unionByName(copies.select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id of its component), kept: a row for each row of the input."""
+    signed, found = _grouped(docs, id_col, text_col, words, similarity)
     out = signed.select("doc_id", "n_shingles").join(found, signed["doc_id"] == found["node"], "left")
     component = F.coalesce(F.col("root"), F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows, all columns, of one document of each group: that with the least id, once."""
-    found = spool(near_duplicates(docs, id_col, text_col, words, similarity).select("doc_id", "kept"))
-    gone = found.where("NOT kept").select("doc_id").distinct()
-    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, docs[id_col] == gone["doc_id"], "left_anti")
-    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again"))
+    """The rows, all columns, of one document of each group: that with the least id.
+
+    Rows of other documents go. Of the rows that stay and share an id and a set, one stays: that with the least text
+    digest, and of equal texts that whose columns have the least digest. Other texts of the id all stay.
+    """
+    signed, found = _grouped(docs, id_col, text_col, words, similarity)
+    gone = spool(found.where("node <> root").select(F.col("node").alias("gone")))
+    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, quoted(id_col) == F.col("gone"), "left_anti")
+    rows = signed.where("doc_id IS NOT NULL")
+    again = rows.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.min("text_key").alias("least")).where("n > 1")
+    again = spool(again.join(gone, F.col("doc_id") == F.col("gone"), "left_anti"))
     if again.isEmpty():
         return out
-    once = out.join(again, out[id_col] == again["again"], "left_semi").dropDuplicates([id_col])
-    return out.join(again, out[id_col] == again["again"], "left_anti").unionByName(once)
+    # Rows of a repeated set: which texts bear it, and which of them stays.
+    doc, txt, best, rank = unused(docs, "_doc", "_text", "_best", "_rank")
+    same = again["doc_id"].eqNullSafe(rows["doc_id"]) & again["key"].eqNullSafe(rows["key"])
+    bound = rows.join(again, same).select(rows["doc_id"].alias(doc), rows["text_key"].alias(txt), (rows["text_key"] == again["least"]).alias(best)).distinct()
+    marked = out.join(spool(bound), (quoted(id_col) == F.col(doc)) & (text_key(quoted(text_col)) == F.col(txt)), "left").where(F.coalesce(F.col(best), F.lit(True)))
+    once = marked.where(F.col(best).isNotNull())
+    order = Window.partitionBy(doc, txt).orderBy(F.xxhash64(*(quoted(c).cast("string") if "map" in t else quoted(c) for c, t in docs.dtypes)))
+    once = once.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
+    every = [quoted(c) for c in docs.columns]
+    return marked.where(F.col(best).isNull()).select(*every).unionByName(once.select(*every))

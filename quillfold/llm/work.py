@@ -1,66 +1,7 @@
-"""The shared work folder: spools that cut lineage, and what Python workers need.
-
-A spool is a Parquet table below ``spark.checkpoint.dir``, which driver and executors share, so that a lost executor
-costs a re-read and not a wrong or repeated computation. Where the setting is absent, a folder of this machine is used
-if the master is local, and nothing otherwise.
-"""
+"""What the operators share with the rest of the library: spools in the shared folder, names, joins on hot keys."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession
-
-ROOT = str(Path(__file__).resolve().parents[2])
-_OWN: list[str] = []
-
-
-#: Rows in an Arrow batch: texts are large, and a batch is held whole on both sides.
-BATCH_ROWS = 1024
-
-
-def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package wherever the driver found it, and bound their batches."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
-    if ROOT not in known:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
-    return spark
-
-
-def work_dir(spark: SparkSession) -> str:
-    """A new folder's URI below the folder that all executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith(("local[", "local-cluster")) and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if not _OWN:
-            _OWN.append("file://" + tempfile.mkdtemp(prefix="quillfold-"))
-            atexit.register(shutil.rmtree, _OWN[0].removeprefix("file://"), ignore_errors=True)
-        base = _OWN[0]
-    return f"{base.rstrip('/')}/quillfold/{uuid.uuid4().hex}"
-
-
-def write(df: DataFrame, path: str, **options: str) -> DataFrame:
-    """The table written to that path, read again."""
-    df.write.option("compression", "zstd").options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spool(df: DataFrame, **options: str) -> DataFrame:
-    """The table written to the shared folder, read again."""
-    return write(df, work_dir(df.sparkSession) + "/t", **options)
-
+from ..scratch import discard, prepare, quoted, spool, spread_join, transient, unused, work_dir, write
 
-def discard(*tables: DataFrame) -> None:
-    """Delete spools that nothing will read again."""
-    for df in tables:
-        for f in {os.path.dirname(f) for f in df.inputFiles()}:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["discard", "prepare", "quoted", "spool", "spread_join", "transient", "unused", "work_dir", "write"]
