@@ -13,7 +13,10 @@ to look for, and the rarest is the cheapest:
 Document shingles are generated, hashed and probed within one stage; only hits are shuffled. The benchmark's shingles are
 broadcast where their number is within ``BROADCAST_ROWS``, joined by a shuffle beyond.
 
-Defined cases: null and empty texts have no words; items without words have no windows; rows that share a doc_id are
+Held in one row at most: a document's occurrences and items, and a key's windows, which its benchmark bounds; an
+occurrence carries its window, and items are looked up once for each document.
+
+Defined cases: null and empty texts have no words; very long texts are handled whole; items without words have no windows; rows that share a doc_id are
 told apart by their text, and equal rows have equal results; empty tables give empty or all-clean results; other columns
 are ignored.
 """
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .work import spool
+from .work import quoted, spool, unused
 
 BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,11 +44,11 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
-    """gram (the words, a space between), words, n, items (sorted distinct ids as strings)."""
+    """item, gram (the words, a space between), words, n: each window of each item once."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("w")).where("size(w) > 0")
     starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0))))
     cut = items.select("item", "w", starts.alias("s")).select("item", F.slice("w", F.col("s") + 1, window).alias("words"))
-    return cut.withColumn("gram", F.array_join("words", " ")).groupBy("gram").agg(F.first("words").alias("words"), F.size(F.first("words")).alias("n"), F.array_sort(F.collect_set("item")).alias("items"))
+    return cut.withColumn("gram", F.array_join("words", " ")).select("item", "gram", "words", F.size("words").alias("n")).dropDuplicates(["item", "gram"])
 
 
 def _keys(words: str, widths: list[int]) -> Column:
@@ -60,18 +63,19 @@ def _hash(longest: int, width: int) -> Column:
 
 def hits_by_document(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, shingle: int = 3) -> DataFrame:
     """doc_id, text_key, n_hit, spans (start, end of each occurrence, in words), items (sorted): documents with hits only."""
-    grams = spool(benchmark_windows(benchmark, item_col, item_text_col, window))
+    windows = spool(benchmark_windows(benchmark, item_col, item_text_col, window))
+    grams = spool(windows.select("gram", "words", "n").dropDuplicates(["gram"]))
     # At most ``shingle`` distinct widths: shorter ones only where the benchmark has windows so short.
     widths = sorted(r["k"] for r in grams.select(F.least("n", F.lit(shingle)).alias("k")).distinct().collect()) or [shingle]
     longest = max(widths)
     width = F.least("n", F.lit(shingle))
     offsets = F.sequence(F.lit(0), F.col("n") - width)
-    at = grams.select("gram", "n", "items", "words", width.alias("k"), F.explode(offsets).alias("off"))
+    at = grams.select("gram", "n", "words", width.alias("k"), F.explode(offsets).alias("off"))
     at = at.withColumn("at", F.struct(*(F.get("words", F.col("off") + k).alias(str(k)) for k in range(longest))))
     key = F.lit(None).cast("long")
     for k in widths:
         key = F.when(F.col("k") == k, _hash(longest, k)).otherwise(key)
-    at = spool(at.select("gram", "n", "items", "off", key.alias("key")))
+    at = spool(at.select("gram", "n", "off", key.alias("key")))
 
     split = _split(docs, id_col, text_col)
     rows = split.select("doc_id", "text_key", "w", _keys("w", widths))
@@ -83,8 +87,8 @@ def hits_by_document(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
     wanted = at.select("key").distinct()
     counts = probes.select("key").join(_small(wanted), "key").groupBy("key").agg(F.count("*").alias("seen"))
     counts = spool(counts)
-    rarest = at.join(counts, "key", "left").groupBy("gram").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "key", "off", "n", "items")).alias("p")).where("p.seen > 0")
-    prefix = rarest.groupBy("p.key").agg(F.collect_list(F.struct("p.off", "p.n", "p.items", "gram")).alias("found"))
+    rarest = at.join(counts, "key", "left").groupBy("gram").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "key", "off", "n")).alias("p")).where("p.seen > 0")
+    prefix = rarest.groupBy("p.key").agg(F.collect_list(F.struct("p.off", "p.n", "gram")).alias("found"))
     prefix = spool(prefix)
 
     few = prefix.count() <= BROADCAST_ROWS
@@ -95,13 +99,18 @@ def hits_by_document(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
     start = lambda x: F.col("pos") - x["off"]
     there = lambda x: F.array_join(F.slice("near", F.greatest(start(x) - F.col("low") + 1, F.lit(1)), x["n"]), " ")
     holds = lambda x: (start(x) >= 0) & (start(x) + x["n"] <= F.col("n_words")) & (there(x) == x["gram"])
-    # Empty findings go after the aggregation: a filter here would become part of the join and break its generated code.
-    hit = placed.join(F.broadcast(prefix) if few else prefix, "key").select("doc_id", "text_key", F.transform(F.filter("found", holds), lambda x: F.struct(start(x).alias("start"), (start(x) + x["n"]).alias("end"), x["items"].alias("items"))).alias("found"))
-    per_doc = hit.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("found")).alias("found")).where("size(found) > 0")
-    spans = F.array_sort(F.array_distinct(F.transform("found", lambda x: F.struct(x["start"], x["end"]))))
+    # Empty findings go after an outer explosion: a filter before it would become part of the join and break its generated code.
+    hit = placed.join(F.broadcast(prefix) if few else prefix, "key").select("doc_id", "text_key", F.transform(F.filter("found", holds), lambda x: F.struct(start(x).alias("start"), (start(x) + x["n"]).alias("end"), x["gram"].alias("gram"))).alias("found"))
+    # An occurrence is a row; a window's items are looked up once for each document in which it occurs.
+    places = hit.select("doc_id", "text_key", F.explode_outer("found").alias("x")).where("x IS NOT NULL").select("doc_id", "text_key", "x.*")
+    places = spool(places.distinct())
+    per_doc = places.groupBy("doc_id", "text_key").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("start", "end")))).alias("spans"))
+    met = places.select("doc_id", "text_key", "gram").distinct().join(_small(windows.select("gram", "item")), "gram")
+    named = met.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     # A word is hit once: a stretch counts from the end of what is already covered.
-    covered = F.aggregate(spans, F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n")), lambda acc, x: F.struct(F.greatest(acc["to"], x["end"]).alias("to"), (acc["n"] + F.greatest(x["end"] - F.greatest(acc["to"], x["start"]), F.lit(0))).alias("n")), lambda acc: acc["n"])
-    return per_doc.select("doc_id", "text_key", spans.alias("spans"), covered.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda x: x["items"])))).alias("items"))
+    covered = F.aggregate("spans", F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n")), lambda acc, x: F.struct(F.greatest(acc["to"], x["end"]).alias("to"), (acc["n"] + F.greatest(x["end"] - F.greatest(acc["to"], x["start"]), F.lit(0))).alias("n")), lambda acc: acc["n"])
+    both = per_doc.alias("p").join(named.alias("i"), F.col("p.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("p.text_key") == F.col("i.text_key")))
+    return both.select("p.doc_id", "p.text_key", "spans", covered.alias("n_hit"), "items")
 
 
 def text_key(text: Column) -> Column:
@@ -122,9 +131,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows, all columns, in which no window occurs."""
-    hit = spool(hits_by_document(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")))
-    return docs.join(_small(hit), docs[id_col].eqNullSafe(F.col("hit_id")) & (text_key(docs[text_col]) == F.col("hit_key")), "left_anti")
+    """The rows, all columns whatever their names, in which no window occurs."""
+    hit_id, hit_key = unused(docs, "_hit_id", "_hit_key")
+    hit = spool(hits_by_document(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias(hit_id), F.col("text_key").alias(hit_key)))
+    return docs.join(_small(hit), quoted(id_col).eqNullSafe(F.col(hit_id)) & (text_key(quoted(text_col)) == F.col(hit_key)), "left_anti")
 
 
 def digest(found: DataFrame) -> DataFrame:
