@@ -6,11 +6,13 @@ its order that is free. So every shard gets the same number of slots, give or ta
 goes moves little besides its own slots. A key's slot is its digest modulo the table; the table, whose size is a
 parameter and not the data's, is broadcast, so placement takes constant time and no shuffle.
 
-Keys decide alone, so a source with a third of all rows spreads like any other. Writing deals each shard's rows to
-``writers`` tasks by the key's digest, so no task holds a whole shard.
+Keys decide alone, so a source with a third of all rows spreads like any other. Writing deals each shard's rows in turn
+to ``writers`` tasks, whatever their keys, so no task holds a whole shard, nor all rows of a key that very many bear. The
+turn follows from a row's place in its input part, so a repeated task deals alike.
 
-Defined cases: a null key counts as the empty text; equal keys share a shard; an empty table gives an empty result;
-``place`` replaces columns called slot and shard.
+Defined cases: a null key counts as the empty text; equal keys share a shard; very long texts and other columns travel as
+they are; an empty table gives an empty result, and a folder that reads as one; ``place`` replaces columns called slot and
+shard, in any case.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .work import work_dir
+from .work import quoted, unused, work_dir
 
 SHARDS, SLOTS = 16, 2053
 
@@ -62,8 +64,9 @@ def place(df: DataFrame, key: str, shards: int | list[str] = SHARDS, slots: int
     """The same rows with slot and shard (its position among the names)."""
     table = fill(names(shards) if isinstance(shards, int) else shards, slots)
     lookup = df.sparkSession.createDataFrame(list(enumerate(table)), "slot long, shard long")
-    rows = df.drop("slot", "shard").withColumn("slot", F.pmod(key_number(key), F.lit(slots)))
-    return rows.join(F.broadcast(lookup), "slot").select(*[c for c in df.columns if c not in ("slot", "shard")], "slot", "shard")
+    kept = [quoted(c) for c in df.columns if c.lower() not in ("slot", "shard")]
+    rows = df.select(*kept, F.pmod(key_number(key), F.lit(slots)).alias("slot"))
+    return rows.join(F.broadcast(lookup), "slot").select(*kept, "slot", "shard")
 
 
 def write_shards(df: DataFrame, key: str, folder: str | None = None, shards: int | list[str] = SHARDS, slots: int = SLOTS, writers: int | None = None) -> str:
@@ -74,8 +77,11 @@ def write_shards(df: DataFrame, key: str, folder: str | None = None, shards: int
     folder = folder or work_dir(df.sparkSession) + "/shards"
     total = shards if isinstance(shards, int) else len(shards)
     writers = writers or max(1, -(-int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // total))
-    salt = F.pmod(F.floor(key_number(key) / F.lit(slots)), F.lit(writers))
-    dealt = place(df, key, shards, slots).repartition(total * writers, "shard", salt)
+    placed = place(df, key, shards, slots)
+    (turn,) = unused(placed, "_turn")
+    # Rows of an input part are dealt in turn, by their number in it.
+    rows = placed.withColumn(turn, F.pmod(F.monotonically_increasing_id(), F.lit(writers)))
+    dealt = rows.repartition(total * writers, "shard", turn).drop(turn)
     dealt.write.option("compression", "zstd").partitionBy("shard").parquet(folder)
     return folder
 
