@@ -13,7 +13,8 @@ so payloads are never shuffled. Reading checks each stored chunk once against it
 and derives document checksums from chunk checksums: CRC-32 is linear, so a chunk's share in the document's checksum is
 its own, moved by the bytes after it, and shares combine by exclusive or, in any order.
 
-Defined cases: null and empty text are the end id alone; of rows that share a doc_id each keeps its own recipe, ordered
+Defined cases: null and empty text are the end id alone; very long texts make many chunks; an id too great for ``width``
+is refused, never cut; of rows that share a doc_id each keeps its own recipe, ordered
 by root; rows without doc_id come first; an empty table gives empty files.
 """
 
@@ -101,6 +102,8 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int
         for whole in batches:
             for batch in slices(whole, most_bytes=4 << 20):
                 ids = [np.frombuffer(b + tail, "<u4") for b in enc.encode(batch.column(1))]
+                if width < 4 and any(x.max() >> (8 * width) for x in ids):
+                    raise ValueError(f"an id does not fit into {width} bytes")
                 digests, lengths, roots, new, payloads = [], [], [], [], []
                 for x, ends in zip(ids, cut_points([x.astype(np.int64) for x in ids])):
                     data, own, sizes, last = x.astype(f"<u{width}").tobytes(), [], [], 0
