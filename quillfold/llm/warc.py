@@ -8,7 +8,8 @@ found from digests; payloads are not shuffled while the repeated digests are few
 
 Reading: a task opens a segment, inflates it block by block, and gives rows (record, chunk number, bytes) of at most
 ``CHUNK`` bytes with the digest and size so far, so no record is ever held whole. The last chunk of a record carries the
-digest and size of its full payload.
+digest and size of its full payload. A payload that does not have its stated digest or length, and a segment with another
+number of records than the manifest says, are refused.
 
 Defined cases: a null payload is empty; all rows that bear the smallest id of a group are responses; a null id refers to
 nothing and sorts after others; control characters in addresses are percent-encoded; an empty table gives no files and
@@ -182,16 +183,22 @@ def read_chunks(spark: SparkSession, folder: str, chunk: int = CHUNK, payloads:
         rows, held = [], 0
         give = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
         for batch in batches:
-            for name, start, length, _ in zip(*(c.to_pylist() for c in batch.columns)):
+            for name, start, length, stated in zip(*(c.to_pylist() for c in batch.columns)):
                 fs, path = _filesystem(folder)
                 with fs.open_input_file(f"{path}/{name}") as f:
                     f.seek(start)
+                    seen = 0
                     for head, number, data, digest, size, last in chunks_of(inflate(f, length), chunk):
+                        seen += last
+                        if last and head["warc-type"] == "response" and f"sha256:{digest}" != head["warc-payload-digest"]:
+                            raise ValueError("a payload is not what its record says")
                         rows.append((bare(head["warc-record-id"]), head["warc-type"], bare(head.get("warc-refers-to")), head["warc-payload-digest"].removeprefix("sha256:"), int(head["http content-length"]), number, data if payloads else None, digest, size, last))
                         held += 200 + len(data)
                         if held > 4 * CHUNK:
                             yield give()
                             rows, held = [], 0
+                    if seen != stated:
+                        raise ValueError("a segment has other records than its manifest says")
         if rows:
             yield give()
 
