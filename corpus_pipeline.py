@@ -7,17 +7,15 @@ the last, the packed pieces. ``run`` applies them in turn, each to what its pred
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillfold.llm import decontaminate, language_id, minhash, packing, secrets
-from quillfold.llm.work import spool
+from quillfold.llm.work import discard, spool, transient
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from the labelled rows outside the held-out fold; documents without a clear language go."""
     model = language_id.fit(docs.where(~language_id.held_out("doc_id")))
-    found = language_id.predict(docs, model).where(~F.col("rejected"))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    return language_id.known(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +48,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Every stage, written and read again; a stage's input and scratch tables go once its output is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
-        docs = spool(stage(spark, docs, sf_dir))
+        with transient() as held:
+            docs = held.keep(spool(stage(spark, docs, sf_dir)))
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
 
 
