@@ -1,4 +1,4 @@
-"""Differentially private releases, their budget, and synthetic tables. Aggregates run in Spark, noise on the driver."""
+"""Differentially private releases, their budget, and synthetic tables. Aggregates and noise run in Spark."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import quoted
+
 
 def laplace_scale(sensitivity: float, epsilon: float) -> float:
     if sensitivity <= 0 or epsilon <= 0:
@@ -55,19 +57,40 @@ def bounded_aggregates(df: DataFrame, value: str, low: float, high: float, by: l
     return df.groupBy(*(by or [])).agg(F.count(value).alias("n"), F.sum(v).alias("total"))
 
 
-def release(aggregates: DataFrame, budget: Budget, epsilon: float, low: float, high: float, seed: int, name: str = "release") -> DataFrame:
-    """Noisy n, total and mean of bounded aggregates; a group for each row, whose number the caller must know is public."""
-    budget.charge(name, epsilon)
-    rows, rng = aggregates.collect(), np.random.default_rng(seed)  # one row for each public group
-    out = []
-    for r in sorted(rows, key=str):
-        d = r.asDict()
-        n = d.pop("n") + laplace_noise(rng.random(), laplace_scale(1, epsilon / 2))
-        total = d.pop("total") + laplace_noise(rng.random(), laplace_scale(max(abs(low), abs(high)), epsilon / 2))
-        out.append((*d.values(), float(n), float(total), float(min(high, max(low, total / max(n, 1))))))
-    groups = [f for f in aggregates.schema.fields if f.name not in ("n", "total")]
-    kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in groups] + ["n double", "total double", "mean double"])
-    return aggregates.sparkSession.createDataFrame(out, kinds)
+def uniform(seed: int, name: str, keys: list[Column]) -> Column:
+    """A number between 0 and 1, fixed by the seed, the draw's name and the group; for releases the seed is a secret."""
+    held = [x for k in keys for x in (F.lit("\x1f"), F.coalesce(k.cast("string"), F.lit("")))]
+    digest = F.sha2(F.concat(F.lit(f"{seed}\x1f{name}"), *held).cast("binary"), 256)
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def laplace(u: Column, scale: float) -> Column:
+    return -F.lit(scale) * F.signum(u - 0.5) * F.log(1 - 2 * F.abs(u - 0.5))
+
+
+def gaussian(u: Column, v: Column, sd: float) -> Column:
+    return F.lit(sd) * F.sqrt(-2 * F.log(u)) * F.cos(F.lit(2 * math.pi) * v)
+
+
+def release(aggregates: DataFrame, budget: Budget, epsilon: float, low: float, high: float, seed: int, name: str = "release", delta: float | None = None) -> DataFrame:
+    """Noisy n, total and mean of bounded aggregates; a group for each row, whose number the caller must know is public.
+
+    Laplace noise, or Gaussian with a ``delta``; half of the budget goes to either figure. Noise is drawn where the rows
+    are, so any number of groups is released. A person may be in one group, once.
+    """
+    budget.charge(name, epsilon, delta or 0.0)
+    keys = [c for c in aggregates.columns if c not in ("n", "total")]
+    most = float(max(abs(low), abs(high)))
+
+    def noise(what: str, sensitivity: float) -> Column:
+        draw = lambda i: uniform(seed, f"{name}\x1f{what}{i}", [quoted(k) for k in keys])
+        if delta is None:
+            return laplace(draw(""), laplace_scale(sensitivity, epsilon / 2))
+        return gaussian(draw(""), draw("2"), gaussian_sd(sensitivity, epsilon / 2, delta / 2))
+
+    n, total = F.col("n") + noise("n", 1.0), F.coalesce("total", F.lit(0.0)) + noise("total", most)
+    out = aggregates.select(*(quoted(k) for k in keys), n.alias("n"), total.alias("total"))
+    return out.withColumn("mean", F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), F.col("total") / F.greatest(F.col("n"), F.lit(1.0)))))
 
 
 def utility_curve(spark, epsilons: list[float], sensitivity: float) -> DataFrame:

@@ -77,14 +77,36 @@ def _suppressed(tuples: DataFrame, cols: list[str], k: int, l: int | None, t: fl
     return int(out.where(bad).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
 
 
-def apply(df: DataFrame, kinds: dict[str, str], plan: Plan, k: int, drop: list[str] | None = None) -> DataFrame:
-    """The released table: direct identifiers dropped, quasi-identifiers at their level, small classes gone."""
+def apply(df: DataFrame, kinds: dict[str, str], plan: Plan, k: int, drop: list[str] | None = None, l: int | None = None, t: float | None = None, sensitive: str | None = None) -> DataFrame:  # noqa: E741
+    """The released table: direct identifiers dropped, quasi-identifiers at their level, classes gone that are too small,
+    or too alike or too far from the table in the sensitive column."""
     out = df.drop(*(drop or []))
     for c, level in plan.levels.items():
         out = out.withColumn(c, ladder(kinds[c])[level](F.col(c)))
-    return P.suppress_small_classes(out, list(plan.levels), k)
-
-
-def anonymize(df: DataFrame, kinds: dict[str, str], k: int, most_suppressed: int = 0, drop: list[str] | None = None) -> tuple[DataFrame, Plan]:
-    plan = search(df, kinds, k, most_suppressed)
-    return apply(df, kinds, plan, k, drop), plan
+    qi = list(plan.levels)
+    bad = P.class_sizes(out, qi).where(F.col("size") < k).select(*qi)
+    if l is not None:
+        bad = bad.unionByName(P.l_diversity(out, qi, sensitive).where(F.col("distinct_l") < l).select(*qi))
+    if t is not None:
+        bad = bad.unionByName(P.t_closeness(out, qi, sensitive).where(F.col("t") > t + P.TOLERANCE).select(*qi))
+    return P._join_classes(out, bad.distinct(), P.check_qi(out, qi), "left_anti")
+
+
+def anonymize(df: DataFrame, kinds: dict[str, str], k: int, most_suppressed: int = 0, drop: list[str] | None = None, l: int | None = None, t: float | None = None, sensitive: str | None = None) -> tuple[DataFrame, Plan]:  # noqa: E741
+    """The released table and its plan: k-anonymous and, where asked for, l-diverse and t-close in ``sensitive``."""
+    if (l is not None or t is not None) and sensitive is None:
+        raise ValueError("diversity and closeness need a sensitive column")
+    plan = search(df, kinds, k, most_suppressed, l, t, sensitive)
+    return apply(df, kinds, plan, k, drop, l, t, sensitive), plan
+
+
+def anonymize_by_role(df: DataFrame, k: int, kinds: dict[str, str], most_suppressed: int = 0, l: int | None = None) -> tuple[DataFrame, Plan]:  # noqa: E741
+    """Anonymise by what ``column_roles`` says: direct identifiers go, quasi-identifiers with a ladder in ``kinds`` are
+    generalised, others of them go, the first sensitive column is held to ``l``; safe columns stay."""
+    roles = {r["column"]: r["role"] for r in P.column_roles(df, df.columns).collect()}  # a row for each column
+    held = {c: kind for c, kind in kinds.items() if roles.get(c) == "quasi_id"}
+    if not held:
+        raise ValueError("no quasi-identifier has a ladder")
+    gone = [c for c, role in roles.items() if role == "direct_id" or (role == "quasi_id" and c not in held)]
+    sensitive = next((c for c in df.columns if roles[c] == "sensitive"), None) if l else None
+    return anonymize(df.drop(*gone), held, k, most_suppressed, None, l if sensitive else None, None, sensitive)

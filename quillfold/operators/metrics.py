@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +46,62 @@ def exact_span_scores(gold: DataFrame, pred: DataFrame, by: list[str] | None = N
     return out.select(*(by or []), "tp", "fp", "fn", *_scores(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
+def relaxed_span_scores(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """label, gold, pred, gold_hit, pred_hit, precision, recall, f1: a span is hit if one of its label on the other side
+    overlaps it. Equal spans count once."""
+    key = ["doc_id", "start", "end", "label"]
+    g, p = (d.select(*key).distinct() for d in (gold, pred))
+
+    def hits(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
+        o = b.select(F.col("doc_id").alias("_d"), F.col("label").alias("_l"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+        met = a.join(o, (a["doc_id"] == o["_d"]) & (a["label"] == o["_l"]) & (a["start"] < o["_e"]) & (a["end"] > o["_s"]), "left_semi")
+        counted = a.groupBy("label").agg(F.count("*").alias(name))
+        return counted.join(met.groupBy("label").agg(F.count("*").alias(f"{name}_hit")), "label", "left")
+
+    both = hits(g, p, "gold").join(hits(p, g, "pred"), "label", "full").fillna(0, ["gold", "pred", "gold_hit", "pred_hit"])
+    return both.select("label", "gold", "pred", "gold_hit", "pred_hit", *_from_rates(F.col("pred_hit") / F.nullif("pred", F.lit(0)), F.col("gold_hit") / F.nullif("gold", F.lit(0))))
+
+
+def _from_rates(p: Column, r: Column) -> list[Column]:
+    p, r = F.coalesce(p, F.lit(0.0)), F.coalesce(r, F.lit(0.0))
+    return [p.alias("precision"), r.alias("recall"), F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0)).alias("f1")]
+
+
+def char_scores(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """label, gold, pred, shared (characters), precision, recall, f1. Spans of one side and label must not overlap."""
+    p = pred.select(F.col("doc_id").alias("_d"), F.col("label").alias("_l"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    both = gold.join(p, (gold["doc_id"] == p["_d"]) & (gold["label"] == p["_l"]) & (gold["start"] < p["_e"]) & (gold["end"] > p["_s"]))
+    shared = both.groupBy("label").agg(F.sum(F.least("end", "_e") - F.greatest("start", "_s")).alias("shared"))
+    size = lambda d, n: d.groupBy("label").agg(F.sum(F.col("end") - F.col("start")).alias(n))
+    out = size(gold, "gold").join(size(pred, "pred"), "label", "full").join(shared, "label", "left").fillna(0, ["gold", "pred", "shared"])
+    return out.select("label", "gold", "pred", "shared", *_from_rates(F.col("shared") / F.nullif("pred", F.lit(0)), F.col("shared") / F.nullif("gold", F.lit(0))))
+
+
+def student_p(t: float, df: float) -> float:
+    """Two-sided p of Student's t: with t = sqrt(df) * tan(a) its density is a power of the cosine."""
+    import numpy as np
+
+    if not (math.isfinite(t) and df > 0):
+        return float("nan")
+    a0 = math.atan(abs(t) / math.sqrt(df))
+    area = lambda lo: float(np.trapezoid(np.cos(x := np.linspace(lo, math.pi / 2, 200_001)) ** (df - 1), x))
+    return min(1.0, area(a0) / area(0.0))
+
+
+def welch_test(rows: DataFrame, value: str, group: str, base: str, other: str) -> DataFrame:
+    """n, mean and variance of both groups, t, df and two-sided p of a difference of means; variances may differ."""
+    stats = rows.where(F.col(group).isin(base, other)).groupBy(F.col(group).alias("g")).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v"))
+    found = {r["g"]: r for r in stats.collect()}  # two rows
+    if len(found) < 2 or min(r["n"] for r in found.values()) < 2:
+        raise ValueError("both groups need two values or more")
+    a, b = found[base], found[other]
+    ea, eb = a["v"] / a["n"], b["v"] / b["n"]
+    t = (b["m"] - a["m"]) / math.sqrt(ea + eb) if ea + eb else math.nan
+    df = (ea + eb) ** 2 / (ea**2 / (a["n"] - 1) + eb**2 / (b["n"] - 1)) if ea + eb else math.nan
+    row = (a["n"], b["n"], a["m"], b["m"], t, df, student_p(t, df))
+    return rows.sparkSession.createDataFrame([row], "base_n long, other_n long, base_mean double, other_mean double, t double, df double, p double")
+
+
 def char_leakage(gold: DataFrame, redacted: DataFrame) -> DataFrame:
     """For each label: gold characters, those inside no redacted span, and their share.
 

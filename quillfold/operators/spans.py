@@ -51,6 +51,26 @@ PROBES = {
     "MAC": ("rlike", "(?::[0-9A-Fa-f]{2}){5}"),
     "ZIP": ("rlike", "[0-9]{5}-[0-9]{4}"),
 }
+
+
+def register(label: str, pattern: str, validator: Callable[[Column], Column] | None = None, score: float = 0.5, probe: tuple[str, str] | None = None, context: str | None = None) -> None:
+    """Add a detector: a pattern whose group 1 is what stands before and whose group 2, the surface, ends the match, and
+    perhaps a check of surfaces, something that stands in every text it matches, and words that raise the score."""
+    PATTERNS[label], BASE_SCORE[label] = pattern, score
+    for table, value in ((VALIDATORS, validator), (PROBES, probe), (CONTEXT, context)):
+        table.pop(label, None)
+        if value is not None:
+            table[label] = value
+
+
+def national(countries: list[str] | None = None) -> list[str]:
+    """Register the national identifiers of the countries (all, if None); their labels, for ``labels``."""
+    chosen = {k: v for k, v in V.NATIONAL.items() if countries is None or v[0] in countries}
+    for label, (_, pattern, check) in chosen.items():
+        register(label, pattern, check, 0.8)
+    return sorted(chosen)
+
+
 SPAN = "struct<start:int,end:int,label:string,surface:string,score:double,valid:boolean,detector:string>"
 
 

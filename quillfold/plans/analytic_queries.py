@@ -9,6 +9,7 @@ from ..functions import clinical as K
 from ..functions import validators as V
 from ..operators import clinical as O
 from ..operators import dp as D
+from ..operators import entities as N
 from ..operators import grounding as G
 from ..operators import lattice as T
 from ..operators import metrics as M
@@ -375,11 +376,72 @@ def dp_scales(spark, sf):
     return r.select("epsilon", F.round("expected_error", 9).alias("expected_error"), F.round("sd", 9).alias("sd"))
 
 
-@query()
+_DRAW = "(('0x' || substr(sha256('7' || chr(31) || 'release' || chr(31) || '{0}' || chr(31) || event_type), 1, 13))::BIGINT + 0.5) / 4503599627370496.0"
+_CLAMPED = "SELECT event_type, count(value) AS n, sum(greatest(0, least(50, value))) AS total FROM events GROUP BY event_type"
+
+
+def _noisy_sql(n: str, total: str) -> str:
+    return f"""SELECT event_type, round(n, 6) AS n, round(total, 4) AS total, round(least(50, greatest(0, total / greatest(n, 1))), 6) AS mean FROM (SELECT event_type, n + {n} AS n, total + {total} AS total FROM ({_CLAMPED}))"""
+
+
+def _noisy(df):
+    return df.select("event_type", F.round("n", 6).alias("n"), F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean"))
+
+
+_LAPLACE = "(-{1} * sign({0} - 0.5) * ln(1 - 2 * abs({0} - 0.5)))"
+
+
+@query(_noisy_sql(_LAPLACE.format(_DRAW.format("n"), 2.0), _LAPLACE.format(_DRAW.format("total"), 100.0)))
 def dp_release(spark, sf):
-    """Noise has no oracle; tests hold the scale and the budget."""
+    """Noise follows from the seed, so the oracle draws it too."""
     a = D.bounded_aggregates(table(spark, sf, "events"), "value", 0, 50, ["event_type"])
-    return D.release(a, D.Budget(1.0), 1.0, 0, 50, seed=7)
+    return _noisy(D.release(a, D.Budget(1.0), 1.0, 0, 50, seed=7))
+
+
+_GAUSS = "({2!r} * sqrt(-2 * ln({0})) * cos(2 * pi() * {1}))"
+
+
+@query(_noisy_sql(*(_GAUSS.format(_DRAW.format(k), _DRAW.format(f"{k}2"), D.gaussian_sd(s, 0.5, 5e-6)) for k, s in (("n", 1.0), ("total", 50.0)))))
+def dp_release_gaussian(spark, sf):
+    a = D.bounded_aggregates(table(spark, sf, "events"), "value", 0, 50, ["event_type"])
+    return _noisy(D.release(a, D.Budget(1.0, 1e-5), 1.0, 0, 50, seed=7, delta=1e-5))
+
+
+_GOLD = "SELECT l_orderkey AS doc_id, l_linenumber * 10 AS s, l_linenumber * 10 + 6 AS e, l_returnflag AS label FROM lineitem"
+_PRED = "SELECT l_orderkey AS doc_id, l_linenumber * 10 + l_partkey % 9 AS s, l_linenumber * 10 + l_partkey % 9 + 1 + l_suppkey % 3 AS e, CASE WHEN l_suppkey % 7 = 0 THEN 'N' ELSE l_returnflag END AS label FROM lineitem WHERE l_partkey % 11 > 0"
+
+
+def _gold_and_pred(spark, sf):
+    li, at = table(spark, sf, "lineitem"), F.col("l_linenumber") * 10
+    begin = at + F.col("l_partkey") % 9
+    gold = li.select(F.col("l_orderkey").alias("doc_id"), at.alias("start"), (at + 6).alias("end"), F.col("l_returnflag").alias("label"))
+    pred = li.where("l_partkey % 11 > 0").select(F.col("l_orderkey").alias("doc_id"), begin.alias("start"), (begin + 1 + F.col("l_suppkey") % 3).alias("end"), F.when(F.col("l_suppkey") % 7 == 0, "N").otherwise(F.col("l_returnflag")).alias("label"))
+    return gold, pred
+
+
+_RATES = "round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1"
+
+
+@query(f"""WITH g AS (SELECT DISTINCT * FROM ({_GOLD})), p AS (SELECT DISTINCT * FROM ({_PRED})),
+gh AS (SELECT label, count(*) AS gold, count(*) FILTER (EXISTS (SELECT 1 FROM p WHERE p.doc_id = g.doc_id AND p.label = g.label AND g.s < p.e AND g.e > p.s)) AS gold_hit FROM g GROUP BY label),
+ph AS (SELECT label, count(*) AS pred, count(*) FILTER (EXISTS (SELECT 1 FROM g WHERE p.doc_id = g.doc_id AND p.label = g.label AND g.s < p.e AND g.e > p.s)) AS pred_hit FROM p GROUP BY label)
+SELECT label, gold, pred, gold_hit, pred_hit, {_RATES} FROM (SELECT *, pred_hit / pred AS p, gold_hit / gold AS r FROM gh JOIN ph USING (label))""")
+def span_f1_relaxed(spark, sf):
+    return M.relaxed_span_scores(*_gold_and_pred(spark, sf)).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+@query(f"""WITH g AS ({_GOLD}), p AS ({_PRED}), x AS (SELECT g.label, sum(least(g.e, p.e) - greatest(g.s, p.s)) AS shared FROM g JOIN p ON p.doc_id = g.doc_id AND p.label = g.label AND g.s < p.e AND g.e > p.s GROUP BY g.label)
+SELECT label, gold, pred, shared, {_RATES} FROM (SELECT *, shared / pred AS p, shared / gold AS r FROM (SELECT label, sum(e - s)::BIGINT AS gold FROM g GROUP BY label) JOIN (SELECT label, sum(e - s)::BIGINT AS pred FROM p GROUP BY label) USING (label) JOIN (SELECT label, shared::BIGINT AS shared FROM x) USING (label))""")
+def span_f1_chars(spark, sf):
+    return M.char_scores(*_gold_and_pred(spark, sf)).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+@query("""WITH s AS (SELECT event_type AS g, count(value) AS n, avg(value) AS m, var_samp(value) / count(value) AS e FROM events GROUP BY 1)
+SELECT a.n AS base_n, b.n AS other_n, round(a.m, 6) AS base_mean, round(b.m, 6) AS other_mean, round((b.m - a.m) / sqrt(a.e + b.e), 6) AS t, round((a.e + b.e) ** 2 / (a.e ** 2 / (a.n - 1) + b.e ** 2 / (b.n - 1)), 4) AS df FROM s a, s b WHERE a.g = 'view' AND b.g = 'click'""")
+def welch_events(spark, sf):
+    """The test's p has no SQL form; unit tests hold it against tabled values."""
+    w = M.welch_test(table(spark, sf, "events"), "value", "event_type", "view", "click")
+    return w.select("base_n", "other_n", F.round("base_mean", 6).alias("base_mean"), F.round("other_mean", 6).alias("other_mean"), F.round("t", 6).alias("t"), F.round("df", 4).alias("df"))
 
 
 @query()
@@ -425,3 +487,59 @@ def stream_dedupe(spark, sf):
 @query("SELECT CAST(json_extract(props, '$.k') AS VARCHAR) IS NULL AS absent, count(*) AS n FROM events GROUP BY 1")
 def json_props(spark, sf):
     return table(spark, sf, "events").groupBy(F.get_json_object("props", "$.k").isNull().alias("absent")).agg(F.count("*").alias("n"))
+
+
+_ENTITIES = "SELECT l_orderkey AS doc_id, l_linenumber AS id, l_returnflag AS label, l_discount AS score, CASE WHEN l_partkey % 5 = 0 THEN 'negated' END AS negation, CASE l_suppkey % 4 WHEN 0 THEN 'family' WHEN 1 THEN 'patient' END AS experiencer FROM lineitem"
+
+
+def _entities(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("id"), F.col("l_returnflag").alias("label"), F.col("l_discount").alias("score"), F.when(F.col("l_partkey") % 5 == 0, "negated").alias("negation"), F.when(F.col("l_suppkey") % 4 == 0, "family").when(F.col("l_suppkey") % 4 == 1, "patient").alias("experiencer"))
+
+
+@query(f"SELECT doc_id, id FROM ({_ENTITIES}) WHERE (label = 'R' AND score >= 0.05) OR (label = 'N' AND score >= 0.02)")
+def entity_filter(spark, sf):
+    return N.keep(_entities(spark, sf), ["R", "N"], 0.02, {"R": 0.05}).select("doc_id", "id")
+
+
+@query(f"WITH e AS ({_ENTITIES}), g AS (SELECT * FROM e WHERE negation IS NULL AND coalesce(experiencer, 'patient') = 'patient') SELECT DISTINCT h.doc_id, h.id AS head, t.id AS tail FROM g h JOIN g t ON h.doc_id = t.doc_id AND t.id = h.id + 1")
+def asserted_relations(spark, sf):
+    e = _entities(spark, sf)
+    relations = e.select("doc_id", F.col("id").alias("head"), (F.col("id") + 1).alias("tail"))
+    return N.asserted_relations(relations.distinct(), e).select("doc_id", "head", "tail")
+
+
+@query("SELECT o_custkey, o_orderkey, rank, n_candidates FROM (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rank, count(*) OVER (PARTITION BY o_custkey) AS n_candidates FROM orders) WHERE rank <= 3")
+def candidate_truncation(spark, sf):
+    return N.top_candidates(table(spark, sf, "orders"), ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 3).select("o_custkey", "o_orderkey", "rank", "n_candidates")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY sha256('5' || chr(31) || o_orderkey::VARCHAR) LIMIT 100")
+def row_sample(spark, sf):
+    return N.sample_rows(table(spark, sf, "orders"), ["o_orderkey"], 100, 5).select("o_orderkey")
+
+
+@query("""WITH vs AS (SELECT DISTINCT p_brand AS system, p_size AS code, p_size % 10 = 0 AS exclude FROM part WHERE p_size % 4 = 0 OR p_size % 10 = 0), lone AS (SELECT min(p_brand) AS system FROM part)
+SELECT p_partkey FROM part p WHERE NOT EXISTS (SELECT 1 FROM vs WHERE exclude AND system = p_brand AND code = p_size) AND (p_brand = (SELECT system FROM lone) OR EXISTS (SELECT 1 FROM vs WHERE NOT exclude AND system = p_brand AND code = p_size))""")
+def value_set_members(spark, sf):
+    p = table(spark, sf, "part")
+    listed = p.where("p_size % 4 = 0 OR p_size % 10 = 0").select(F.col("p_brand").alias("system"), F.col("p_size").alias("code"), (F.col("p_size") % 10 == 0).alias("exclude"))
+    whole = p.agg(F.min("p_brand").alias("system")).select("system", F.lit(None).cast("int").alias("code"), F.lit(False).alias("exclude"))
+    return N.members(p, listed.unionByName(whole), "p_brand", "p_size").select("p_partkey")
+
+
+_W = lambda d, ws: "(" + " + ".join(f"substr({d}, {i + 1}, 1)::INT * {w}" for i, w in enumerate(ws)) + ")"
+_DOWN, _DOWN11 = list(range(10, 1, -1)), list(range(11, 1, -1))
+_ID_SQL = f"""SELECT id, (11 - {_W("d", _DOWN)} % 11) % 11 = substr(d, 10, 1)::INT AND (11 - {_W("d", _DOWN)} % 11) % 11 <> 10 AS nhs,
+(10 - {_W("e", [1, 3, 7, 9, 1, 3, 7, 9, 1, 3])} % 10) % 10 = id % 10 AS pesel, {_W("d", [9, 8, 7, 6, 5, 4, 3, 2, -1])} % 11 = 0 AND {_W("d", [9, 8, 7, 6, 5, 4, 3, 2, -1])} > 0 AS bsn,
+substr('{V.DNI_LETTERS}', substr(d, 1, 8)::INT % 23 + 1, 1) = chr(65 + (id % 26)::INT) AS dni, 97 - ('1' || d || '12')::BIGINT % 97 = id % 97 + 1 AS nir, {_W("d", [1, 4, 3, 7, 5, 8, 6, 9, 10])} % 11 = 0 AS tfn,
+10 * {_W("e", _DOWN)} % 11 % 10 = substr(d, 10, 1)::INT AND 10 * {_W("e", _DOWN11)} % 11 % 10 = id % 10 AND length(replace(e, substr(d, 1, 1), '')) > 0 AS cpf
+FROM (SELECT id, d, d || id % 10 AS e FROM (SELECT id, lpad((id * 7919 % 10000000000)::VARCHAR, 10, '0') AS d FROM {_LINES}))"""
+
+
+@query(_ID_SQL)
+def national_ids(spark, sf):
+    i = F.col("id")
+    rows = _lines(spark, sf).select("id", F.lpad((i * 7919 % 10000000000).cast("string"), 10, "0").alias("d"))
+    eleven = F.concat("d", (i % 10).cast("string"))
+    return rows.select("id", V.nhs("d").alias("nhs"), V.pesel(eleven).alias("pesel"), V.bsn(F.substring("d", 1, 9)).alias("bsn"), V.dni(F.concat(F.substring("d", 1, 8), F.char((i % 26 + 65).cast("long")))).alias("dni"), V.nir(F.concat(F.lit("1"), "d", F.lit("12"), F.lpad((i % 97 + 1).cast("string"), 2, "0"))).alias("nir"), V.tfn(F.substring("d", 1, 9)).alias("tfn"), V.cpf(eleven).alias("cpf"))
