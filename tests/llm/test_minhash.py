@@ -92,3 +92,29 @@ def test_components(spark):
     out = components(spark.createDataFrame(pairs, "u long, v long"))
     assert {r.node: r.root for r in out.collect()} == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_rows_that_share_an_id_lose_no_link(spark):
+    x = " ".join(f"a{i}" for i in range(40))
+    y = " ".join(f"b{i}" for i in range(40))
+    rows = [(0, x), (1, x), (1, y), (2, y + " tail"), (3, "quite another text of its own"), (3, "and one more under that id"), (3, "and one more under that id")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, _Gone int").repartition(3)
+    out = mh.near_duplicates(docs).collect()
+    assert {(r.doc_id, r.component_id) for r in out} == {(0, 0), (1, 0), (2, 0), (3, 3)} and len(out) == 7
+    kept = mh.without_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(0, x), (3, rows[5][1]), (3, rows[4][1])] or sorted((r.doc_id, r.text) for r in kept) == sorted({rows[0], rows[4], rows[5]})
+    again = mh.without_duplicates(docs.repartition(5)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, kept)) and docs.columns == mh.without_duplicates(docs).columns
+
+
+def test_ids_may_be_strings(spark):
+    text = " ".join(f"a{i}" for i in range(40))
+    docs = spark.createDataFrame([("z", text), ("doc-9", text + " b"), ("q", "alone in the world of five"), (None, text)], "doc_id string, text string")
+    assert {(r.doc_id, r.component_id) for r in mh.near_duplicates(docs).collect()} == {("z", "doc-9"), ("doc-9", "doc-9"), ("q", "q"), (None, None)}
+
+
+def test_recall_on_the_larger_table(spark):
+    """Every link of all pairs is found: the components are equal."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    assert got(mh.near_duplicates(docs, words=2)) == brute(rows, 2)

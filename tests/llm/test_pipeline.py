@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from quillfold.llm import language_id as li
 
@@ -44,3 +46,19 @@ def test_edge_rows(spark, tmp_path):
     docs.limit(0).write.parquet(str(tmp_path / "empty" / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "empty" / "benchmark.parquet"))
     assert cp.run(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_clashing_names_travel_through_every_stage(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = ["_found", "Score", "lang_pred", "rejected", "_hit_id", "_Hit_Key", "hit_id", "hit_key", "gone", "_Doc", "text_key", "key", "n_shingles", "component_id", "spans", "items", "u", "v"]
+    clash = docs.select("*", *(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names))
+    (tmp_path / "d").mkdir()
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(str(tmp_path / "d" / "benchmark.parquet"))
+    plain = clash_docs = None
+    plain, clash_docs = docs, clash
+    for name, stage in cp.STAGES:
+        plain, clash_docs = cp.spool(stage(spark, plain, sf)), cp.spool(stage(spark, clash_docs, str(tmp_path / "d")))
+        if name != "packing":
+            assert clash_docs.columns == clash.columns
+            assert sorted(map(str, clash_docs.select(docs.columns).collect())) == sorted(map(str, plain.collect()))
+            assert clash_docs.where(" OR ".join(f"`{n}` <> concat('{n}', doc_id)" for n in names)).count() == 0

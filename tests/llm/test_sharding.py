@@ -3,6 +3,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from quillfold.llm import sharding
 
 
@@ -59,3 +61,16 @@ def test_edge_rows(spark):
     rows = sharding.place(df, "k").collect()
     assert len(rows) == 4 and len({r.shard for r in rows if r.k == "a"}) == 1 and len({r.slot for r in rows if not r.k}) == 1
     assert sharding.place(df.limit(0), "k").count() == 0
+
+
+def test_a_key_that_most_rows_bear_is_dealt_to_all_writers(spark, tmp_path):
+    from quillfold.llm import sharding
+
+    rows = spark.range(4000).select(F.when(F.col("id") % 10 > 0, None).otherwise(F.col("id")).alias("doc_id"), F.col("id").alias("x"), F.lit("s").alias("Slot"), F.lit("t").alias("_turn")).repartition(4)
+    folder = sharding.write_shards(rows, "doc_id", str(tmp_path / "out"), writers=4)
+    back = spark.read.parquet(folder)
+    assert sorted(r.x for r in back.collect()) == list(range(4000)) and back.select("_turn").distinct().count() == 1
+    files = back.where("doc_id IS NULL").groupBy(F.input_file_name()).count().collect()
+    assert len(files) >= 3 and max(r["count"] for r in files) < 3600 / 2
+    empty = sharding.place(rows.limit(0), "doc_id")
+    assert empty.count() == 0

@@ -67,3 +67,11 @@ def test_checksum_shares(cut):
     parts = [data[i:j] for i, j in zip([0, *ends], ends)]
     after = np.array([len(data) - e for e in ends])
     assert np.bitwise_xor.reduce(ts.crc_share(np.array([zlib.crc32(p) for p in parts]), after)) == zlib.crc32(data)
+
+
+def test_ids_beyond_the_width_are_refused(spark):
+    docs = spark.createDataFrame([(None, "one two three"), (2, None)], "doc_id long, text string")
+    with pytest.raises(Exception, match="does not fit"):
+        ts.write_store(docs, width=1)
+    got = ts.read_checks(spark, ts.write_store(docs)).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, 2] and all(r.verified for r in got)

@@ -72,3 +72,24 @@ def test_short_segments_are_errors():
     wrong = gzip.compress(warc.record_head("1", "u", 6, "d", None) + b"hello\r\n\r\n")
     with pytest.raises(ValueError):
         list(warc.chunks_of(warc.inflate(io.BytesIO(wrong), len(wrong))))
+
+
+def test_other_payloads_or_records_than_stated_are_refused(spark, tmp_path):
+    pages = spark.createDataFrame([(None, "u", "x" * 300), (2, None, "y" * 300), (3, "w", None)], "page_id long, url string, html string").coalesce(1)
+    folder = warc.write_archive(pages, str(tmp_path / "a"))
+    assert len(got(spark, folder)) == 3
+    manifest = spark.read.parquet(f"{folder}/manifest").collect()
+    wrong = spark.createDataFrame([(r.file, r.start, r.length, r.records + 1) for r in manifest], "file string, start long, length long, records long")
+    wrong.write.mode("overwrite").parquet(f"{tmp_path}/b/manifest")
+    for r in manifest:
+        data = (tmp_path / "a" / r.file).read_bytes()
+        (tmp_path / "b" / r.file).write_bytes(data)
+    with pytest.raises(Exception, match="other records"):
+        got(spark, str(tmp_path / "b"))
+    (bad,) = manifest
+    plain = gzip.decompress((tmp_path / "b" / bad.file).read_bytes()).replace(b"y" * 300, b"y" * 299 + b"z")
+    data = b"".join(gzip.compress(b"WARC/1.1" + x) for x in plain.split(b"WARC/1.1")[1:])
+    (tmp_path / "b" / bad.file).write_bytes(data)
+    spark.createDataFrame([(bad.file, 0, len(data), bad.records)], "file string, start long, length long, records long").write.mode("overwrite").parquet(f"{tmp_path}/b/manifest")
+    with pytest.raises(Exception, match="not what its record says"):
+        got(spark, str(tmp_path / "b"))
