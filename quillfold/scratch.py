@@ -27,6 +27,8 @@ _HELD: list["Held"] = []
 BATCH_ROWS = 1024
 #: Keys that ``spread_join`` sends to every task, at most; each then has more than a ``HOT_KEYS / 2``-th of all rows.
 HOT_KEYS = 10_000
+#: Rows of a side that every task may hold, whatever its keys.
+SMALL_SIDE = 200_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -123,12 +125,14 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def spread_join(rows: DataFrame, side: DataFrame, key: str, weight: str, total: int, hot: int = HOT_KEYS) -> DataFrame:
+def spread_join(rows: DataFrame, side: DataFrame, key: str, weight: str, total: int, hot: int = HOT_KEYS, small: int = SMALL_SIDE) -> DataFrame:
     """``rows`` joined with ``side``, which has one row for each key and, as ``weight``, how many of ``rows`` bear it.
 
-    Keys that bear more than 2 * total / hot rows, at most hot / 2 of them, meet their rows where those lie, by a
+    A side of at most ``small`` rows is broadcast. Of a larger one, keys that bear more than 2 * total / hot rows, at most hot / 2 of them, meet their rows where those lie, by a
     broadcast of that size at most; all others by a shuffle in which no key outweighs the rest.
     """
+    if side.count() <= small:
+        return rows.join(F.broadcast(side), key)
     most = max(1, 2 * total // hot)
     heavy, light = side.where(F.col(weight) > most), side.where(F.col(weight) <= most)
     there = rows.join(F.broadcast(heavy), key)

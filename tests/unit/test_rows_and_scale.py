@@ -85,7 +85,7 @@ def test_descendants_have_no_depth(spark):
 
 
 def test_components_of_a_long_chain_and_a_star(spark, monkeypatch):
-    monkeypatch.setattr(scratch, "HOT_KEYS", 20)
+    monkeypatch.setattr(scratch.spread_join, "__defaults__", (20, 0))
     edges = [(i, i + 1) for i in range(400)] + [(5000, 6000 + i) for i in range(300)] + [(None, 3), (9, 9)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**dict.fromkeys(range(401), 0), 5000: 5000, **dict.fromkeys(range(6000, 6300), 5000)}
@@ -96,8 +96,9 @@ def test_components_of_a_long_chain_and_a_star(spark, monkeypatch):
 def test_hot_keys_join_like_others(spark):
     rows = spark.createDataFrame([(0, i) for i in range(200)] + [(i, i) for i in range(1, 50)] + [(None, 1)], "k long, x long")
     side = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("x").alias("m"))
-    got = scratch.spread_join(rows, side, "k", "n", 249, hot=10)
-    assert sorted(got.select("k", "x", "m").collect()) == sorted(rows.join(side, "k").select("k", "x", "m").collect())
+    want = sorted(rows.join(side, "k").select("k", "x", "m").collect())
+    for options in ({"hot": 10, "small": 0}, {"hot": 10}):
+        assert sorted(scratch.spread_join(rows, side, "k", "n", 249, **options).select("k", "x", "m").collect()) == want
 
 
 def test_transient_spools_go_but_for_those_kept(spark):
