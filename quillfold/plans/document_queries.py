@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import normalize as C
 from ..operators import documents as D
 from ..operators import policy as P
 from ..operators import spans as S
@@ -109,3 +110,11 @@ def cascade_spans(spark, sf):
     d = table(spark, sf, "documents")
     out = P.cascade(d, lambda x: S.detect(x, ["EMAIL", "CARD"]), lambda x: S.detect(x, ["EMAIL", "CARD", "IPV4", "PHONE"]), 0.8)
     return out.groupBy("stage", "label").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, sha256(nfc_normalize(text)) AS nfc_sha256, length(nfc_normalize(text)) AS chars FROM (SELECT doc_id, replace(text, 'e', 'e' || chr(769)) AS text FROM documents)")
+def nfc_texts(spark, sf):
+    """Every e with a combining accent, composed."""
+    d = table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("e"), F.lit("e\u0301")).alias("text"))
+    n = d.select("doc_id", C.normal_form("text").alias("n"))
+    return n.select("doc_id", F.sha2(F.col("n.text").cast("binary"), 256).alias("nfc_sha256"), F.char_length("n.text").cast("long").alias("chars"))
