@@ -265,11 +265,12 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     digest, and of equal texts that whose columns have the least digest. Other texts of the id all stay.
     """
     signed, found = _grouped(docs, id_col, text_col, words, similarity)
-    gone = spool(found.where("node <> root").select(F.col("node").alias("gone")))
-    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, quoted(id_col) == F.col("gone"), "left_anti")
+    (lost,) = unused(docs, "_gone")
+    gone = spool(found.where("node <> root").select(F.col("node").alias(lost)))
+    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, quoted(id_col) == F.col(lost), "left_anti")
     rows = signed.where("doc_id IS NOT NULL")
     again = rows.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.min("text_key").alias("least")).where("n > 1")
-    again = spool(again.join(gone, F.col("doc_id") == F.col("gone"), "left_anti"))
+    again = spool(again.join(gone, F.col("doc_id") == F.col(lost), "left_anti"))
     if again.isEmpty():
         return out
     # Rows of a repeated set: which texts bear it, and which of them stays.
