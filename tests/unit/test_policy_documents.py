@@ -38,6 +38,20 @@ def test_script_type_and_masks(spark):
     assert [r[0] for r in t.select(D.document_type("t")).collect()] == ["radiology_report", "unknown"]
 
 
+def test_script_routing_agrees_with_its_sql_on_odd_texts(spark, tmp_path):
+    import duckdb
+
+    from quillfold.plans.catalogue import ORACLE, QUERIES
+
+    texts = ["hello", "Привет, x", "שלום", "123", None, "", "éà", "αβγ a", "x\ny", "世界", "Ж"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(ORACLE["script_routing"]).fetchall())
+    assert sorted(tuple(r) for r in QUERIES["script_routing"](spark, str(tmp_path)).collect()) == want
+    assert len(want) == len(texts) - 1
+
+
 def test_windows_agree_with_greedy_packing(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("n_chars < 2000").limit(30)
     got = {}
