@@ -7,11 +7,16 @@ the part's place in the source. Texts already in the form, as nearly all are, ma
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FORMS = ("NFC", "NFKC", "NFD", "NFKD")
+#: Bytes of forms and maps, about, after which a worker hands its rows on.
+FLUSH = 8 << 20
 
 
 def parts(text: str, form: str) -> list[tuple[int, int]]:
@@ -45,16 +50,27 @@ def mapped(text: str, form: str) -> tuple[str, list[int] | None]:
     return "".join(out), [*places, len(text)]
 
 
-def normal_form(text: Column | str, form: str = "NFC") -> Column:
-    """struct(text, places): the normal form and its map, null where the text is its own form. A null text gives nulls."""
+def normal_form(text: Column | str, form: str = "NFC", places: bool = True) -> Column:
+    """struct(text, places): the normal form and its map, null where the text is its own form. A null text gives nulls.
+
+    Without ``places`` no map is made, and all are null. Results leave a worker in chunks of about ``FLUSH`` bytes, however
+    many rows come in at once.
+    """
     if form not in FORMS:
         raise ValueError(f"unknown form: {form}")
 
     @F.pandas_udf("text string, places array<int>")
-    def run(texts):
-        import pandas as pd
-
-        return pd.DataFrame([(None, None) if t is None else mapped(t, form) for t in texts], columns=["text", "places"])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows, held = [], 0
+            for t in texts:
+                new, at = (None, None) if t is None else mapped(t, form) if places else (unicodedata.normalize(form, t), None)
+                rows.append((new, None if at is None else np.array(at, dtype=np.int32)))
+                held += len(new or "") + (0 if at is None else 4 * len(at))
+                if held > FLUSH:
+                    yield pd.DataFrame(rows, columns=["text", "places"])
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=["text", "places"])
 
     return run(F.col(text) if isinstance(text, str) else text)
 

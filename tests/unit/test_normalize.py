@@ -34,3 +34,22 @@ def test_spans_go_back(spark):
     plain = rows.where("t = 'plain'").select(N.source_span(F.col("n.places"), F.lit(1), F.lit(3)).alias("s"), "n.places").first()
     assert (plain.s.start, plain.s.end, plain.places) == (1, 3, None)
     assert rows.where("t IS NULL").first().n.text is None and rows.where("t = ''").first().n.text == ""
+
+
+def test_forms_leave_in_chunks_and_without_maps(spark, monkeypatch):
+    monkeypatch.setattr(N, "FLUSH", 100)
+    texts = [None if i % 7 == 0 else "xe\u0301" * (i % 50) for i in range(500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").coalesce(1)
+    for places in (True, False):
+        got = rows.select("i", N.normal_form("t", places=places).alias("n")).select("i", "n.*").orderBy("i").collect()
+        assert [r.text for r in got] == [None if t is None else unicodedata.normalize("NFC", t) for t in texts]
+        assert [r.places for r in got] == [N.mapped(t, "NFC")[1] if places and t is not None else None for t in texts]
+
+
+def test_nfc_texts_makes_no_map(spark, sf, monkeypatch):
+    from quillfold.plans.catalogue import QUERIES
+
+    asked = []
+    monkeypatch.setattr(N, "normal_form", lambda text, form="NFC", places=True, f=N.normal_form: (asked.append(places), f(text, form, places))[1])
+    QUERIES["nfc_texts"](spark, sf)
+    assert asked == [False] and int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1024
