@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import SMALL_SIDE, quoted, spool, unused
+
 
 def folded(c: Column | str) -> Column:
     return F.regexp_replace(F.lower(F.trim(F.col(c) if isinstance(c, str) else c)), "[ \t]+", " ")
@@ -125,3 +129,14 @@ def spans_in_sections(spans: DataFrame, found: DataFrame) -> DataFrame:
     q = spans.select("doc_id", F.col("start").alias("p"), F.lit(1).alias("k"), F.lit(None).cast("string").alias("open"), F.col("span_id").alias("sid"))
     last = F.last("open", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("p", "k").rowsBetween(Window.unboundedPreceding, 0))
     return s.unionByName(q).withColumn("section", last).where("k = 1").select("doc_id", F.col("sid").alias("span_id"), "section")
+
+
+def parsed(rows: DataFrame, text_col: str, parser: Callable[[Column], Column], name: str) -> DataFrame:
+    """``rows`` and, under ``name``, what the parser makes of each text. Phrases recur: where there are few enough distinct
+    ones for every task to hold, each is parsed once and looked up; where there are more, each row's own is parsed."""
+    (key,) = unused(rows, "_phrase")
+    known = spool(rows.select(quoted(text_col).alias(key)).distinct())
+    if known.count() > SMALL_SIDE:
+        return rows.withColumn(name, parser(quoted(text_col)))
+    made = spool(known.withColumn(name, parser(F.col(key))))
+    return rows.join(F.broadcast(made), quoted(text_col).eqNullSafe(F.col(key)), "left").drop(key)

@@ -72,7 +72,8 @@ f = 1 AS as_needed, CASE f WHEN 0 THEN q WHEN 3 THEN 7 * q END::INTEGER AS durat
 def sig_parse(spark, sf):
     q, h = F.col("q"), F.col("l_linenumber")
     forms = [(q, " tabs PO BID x", q, " days"), (q, " mg IV q", h, "h prn pain"), (q, " puffs inhaled daily"), (q, " ml by mouth qid for ", q, " weeks"), ("as directed, max ", q, " days, before", q)]
-    s = _lines(spark, sf).select("id", _phrase(F.col("l_suppkey"), forms).alias("t")).select("id", K.sig("t").alias("s")).select("id", "s.*")
+    s = _lines(spark, sf).select("id", _phrase(F.col("l_suppkey"), forms).alias("t"))
+    s = O.parsed(s, "t", K.sig, "s").select("id", "s.*")
     return s.withColumn("missing", F.array_join("missing", ","))
 
 

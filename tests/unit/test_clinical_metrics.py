@@ -112,3 +112,20 @@ def test_chain(spark):
     df = spark.createDataFrame(rows, "c string, i int, prev string, own string, p string")
     assert M.verify_chain(df, "c", "i", "prev", "own", "p").first().broken == 0
     assert M.verify_chain(df.withColumn("p", F.when(F.col("i") == 2, "x").otherwise(F.col("p"))), "c", "i", "prev", "own", "p").first().broken == 1
+
+
+def test_phrases_are_parsed_once_or_row_by_row(spark, monkeypatch):
+    texts = ["5 mg PO BID x3 days", None, "", "2 puffs inhaled daily", "q0h prn", "1 tab po iv q 6 h for 2 weeks"]
+    rows = spark.createDataFrame([(i, texts[i % 6]) for i in range(60)], "id long, t string")
+    want = {r.id: r.s for r in rows.select("id", K.sig("t").alias("s")).collect()}
+    assert want[0].dose == 5 and want[0].frequency_per_day == 2 and want[0].duration_days == 3 and want[1].as_needed is None
+    for most in (6, 5):
+        monkeypatch.setattr(O, "SMALL_SIDE", most)
+        out = O.parsed(rows, "t", K.sig, "s")
+        assert out.columns == ["id", "t", "s"] and {r.id: r.s for r in out.collect()} == want
+        assert ("regexp_extract" in out._jdf.queryExecution().optimizedPlan().toString()) == (most == 5)
+
+
+def test_sig_tries_each_expression_once(spark):
+    plan = spark.range(3).select(K.sig(F.col("id").cast("string")).alias("s")).select("s.*")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") <= 6 and "RLIKE" not in plan
