@@ -155,12 +155,13 @@ def candidate_edges(reps: DataFrame, similarity: float, rounds: int = 2) -> Data
     loose = far - MARGIN * (far * (1 - far) / n) ** 0.5
     # A document of several sets is any of them here; its links are verified set by set.
     sketches = reps.groupBy("doc_id").agg(F.min("sketch").alias("sketch"))
-    members = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("m")).distinct()
+    # Sets of one document may share a bucket: such rows repeat, which neither a least member nor distinct pairs mind.
+    members = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("m"))
     kept = []
     for turn in range(rounds + 1):
         heads = spool(members.groupBy("bucket").agg(F.min("m").alias("p"), F.count("*").alias("n")).where("n > 1"))
         total = heads.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-        starred = spread_join(members, heads, "bucket", "n", total).where("m <> p")
+        starred = spread_join(members, heads, "bucket", "n", total, small=0).where("m <> p")  # heads grow with the input
         if turn == rounds:
             kept.append(starred.select(F.col("p").alias("u"), F.col("m").alias("v")).distinct())
             break
@@ -244,7 +245,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
     classes = spool(usable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("key", "rep"))
     # Only rows of this very set are copies; a document's other sets go on.
     copies = spool(usable.select("doc_id", "key").join(classes, "key").where("doc_id <> rep").select("doc_id", "rep", "key").distinct())
-    reps = usable.join(copies.select("doc_id", "key"), ["doc_id", "key"], "left_anti")
+    # Read several times: by a broadcast each time, or written once, so that bands and sketches are shuffled once at most.
+    few, lost = copies.count() <= BROADCAST_ROWS, copies.select("doc_id", "key")
+    reps = usable.join(F.broadcast(lost) if few else lost, ["doc_id", "key"], "left_anti").select("doc_id", "bands", "sketch")
+    reps = reps if few else spool(reps)
     clusters = components(candidate_edges(reps, similarity))
     links = verified_links(clusters, usable.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), docs, id_col, text_col, words, similarity)
     return signed, components(links.unionByName(copies.select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))))

@@ -118,3 +118,19 @@ def test_recall_on_the_larger_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     assert got(mh.near_duplicates(docs, words=2)) == brute(rows, 2)
+
+
+def test_bands_are_shuffled_once(spark, sf, monkeypatch):
+    """Bucket members come from one scan without an exchange, whatever the table's size; copies beyond the limit lose no link."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want, plans = got(mh.near_duplicates(docs, words=2)), []
+
+    def watched(rows, side, key, *a, f=mh.spread_join, **b):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return f(rows, side, key, *a, **b)
+
+    monkeypatch.setattr(mh, "spread_join", watched)
+    assert got(mh.near_duplicates(docs, words=2)) == want
+    assert "hashpartitioning" not in plans[0] and "Aggregate" not in plans[0]
+    monkeypatch.setattr(mh, "BROADCAST_ROWS", 0)
+    assert got(mh.near_duplicates(docs, words=2)) == want
