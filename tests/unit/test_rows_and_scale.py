@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +139,51 @@ def test_near_copies_and_amendments_agree_with_brute_force(spark, monkeypatch):
     assert linking.near_copies(docs.limit(0)).count() == 0
 
 
+def _shuffled(spark, run) -> int:
+    """Bytes of shuffle that a run writes."""
+    sc = spark.sparkContext
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+
+    def total() -> int:
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    before = total()
+    run()
+    return total() - before
+
+
+def _unlike(spark, n: int):
+    """Texts of like size that have little in common, and their bytes."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"{rng.randrange(16**7):07x}" for _ in range(250))) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4), sum(len(t) for _, t in rows)
+
+
+def test_near_copies_move_each_text_a_few_times(spark, monkeypatch):
+    monkeypatch.setattr(linking, "BLOCK", 8)
+    docs, size = _unlike(spark, 400)
+    assert _shuffled(spark, lambda: linking.near_copies(docs).collect()) < 5 * size
+
+
+def test_sets_at_the_bound_share_a_key_and_are_paired():
+    rng, starts = np.random.default_rng(3), linking.band_starts()
+    for duplicate in (0.92, 0.8, 1.0):
+        for a in [*range(1, 60), *rng.integers(60, 1500, 60)]:
+            b = int(rng.integers(int(np.ceil(duplicate * a)), a + 1))
+            shared = int(np.ceil(duplicate * (a + b) / (1 + duplicate) - 1e-9))
+            if shared <= b and shared / (a + b - shared) >= duplicate:
+                pool = rng.permutation(np.unique(rng.integers(0, 1 << 40, 2 * a + 50, dtype=np.uint64)))
+                x, y = (linking.part_keys(np.sort(s), duplicate, starts) for s in (pool[:a], np.append(pool[:shared], pool[a : a + b - shared])))
+                assert len(np.intersect1d(x, y)), (duplicate, a, b)
+    keys = np.array([2] * 3 + [4] * 20 + [7] * 20 + [9], dtype=np.uint64)
+    ids = np.array([*range(3), *range(100, 120), *range(200, 220), 300])
+    u, v, sure = linking.group_pairs(keys, ids)
+    got = set(zip(u.tolist(), v.tolist(), sure.tolist()))
+    assert got == {(0, 1, False), (0, 2, False), (1, 2, False)} | {(100, i, True) for i in range(101, 120)} | {(i, j, False) for i in range(200, 220) for j in range(i + 1, 220)}
+
+
 def test_one_cluster_or_family_over_many_parts(spark):
     rng = random.Random(1)
     rows = [(i, "c" if i % 3 else f"d{i % 7}", rng.randrange(40)) for i in range(300)]
