@@ -173,6 +173,12 @@ def test_amendments_move_each_text_a_few_times(spark, monkeypatch):
     assert _shuffled(spark, lambda: linking.amendment_counts(docs).collect()) < 3 * size
 
 
+def test_version_pairs_move_each_text_once(spark, monkeypatch):
+    monkeypatch.setattr(linking, "BLOCK", 16)
+    docs, size = _unlike(spark, 400)
+    assert _shuffled(spark, lambda: linking.version_pairs(docs).collect()) < 2 * size
+
+
 def test_sets_at_the_bound_share_a_key_and_are_paired():
     rng, starts = np.random.default_rng(3), linking.band_starts()
     for duplicate in (0.92, 0.8, 1.0):
