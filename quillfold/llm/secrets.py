@@ -8,7 +8,8 @@ Spans are half-open code-point offsets, in the order of start, then of ``KINDS``
 do not overlap.
 
 Defined cases: null and empty texts have no spans; equal rows have equal results; an empty table gives an empty result;
-other columns are kept by ``redact`` and ignored by ``scan``.
+other columns are kept by ``redact`` and ignored by ``scan``. A batch is worked on in parts of bounded text; a very long
+text is a part of its own.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .encode import slices, trim
 from .work import prepare
 
 KINDS = ("assign", "access", "hex", "github", "npm", "xprv")
@@ -118,9 +120,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
-        for batch in batches:
-            found = [[{"start": a, "end": b, "kind": k} for a, b, k in find_secrets(t.as_py())] for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["doc_id", "spans"])
+        for whole in batches:
+            for batch in slices(whole):
+                found = [[{"start": a, "end": b, "kind": k} for a, b, k in find_secrets(t.as_py())] for t in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["doc_id", "spans"])
+        trim()
 
     key = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {key}, spans array<struct<start:int,end:int,kind:string>>")
@@ -154,15 +158,18 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_c
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols, at = list(batch.columns), names.index(text_col)
-            kind = cols[at].type
-            new = [masked(t, find_secrets(t)) for t in cols[at].to_pylist()]
-            if chars_col in names:
-                k = names.index(chars_col)
-                old = cols[k].to_pylist()
-                cols[k] = pa.array([o if n is None or n == t else len(n) for o, n, t in zip(old, new, cols[at].to_pylist())], cols[k].type)
-            cols[at] = pa.array(new, kind)
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+        at = names.index(text_col)
+        for whole in batches:
+            for batch in slices(whole, at):
+                cols = list(batch.columns)
+                texts = cols[at].to_pylist()
+                new = [masked(t, find_secrets(t)) for t in texts]
+                if chars_col in names:
+                    k = names.index(chars_col)
+                    old = cols[k].to_pylist()
+                    cols[k] = pa.array([o if n is None or n == t else len(n) for o, n, t in zip(old, new, texts)], cols[k].type)
+                cols[at] = pa.array(new, cols[at].type)
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+        trim()
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -60,3 +61,22 @@ def test_edge_rows_and_redaction(spark):
     clean = {(r.doc_id, r.text, r.n_chars) for r in sx.redact(docs).collect()}
     assert (3, "é [ASSIGN]' ok", 14) in clean and (5, "[ASSIGN]", 8) in clean and (1, None, 0) in clean
     assert sx.scan(docs.limit(0)).count() == 0 and sx.redact(docs.limit(0)).count() == 0
+
+
+def test_a_batch_of_long_texts_is_worked_on_in_parts(spark):
+    """What a worker holds is bounded by bytes of text, not by rows alone; every row comes out, in order."""
+    texts = [None, "", *(f"{i} token=abcdefghijklmnop " + "long words " * 6000 for i in range(120)), "secret=deadbeefdeadbeef00 " + "x " * 2_000_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    size = lambda b: sum(len(t or "") for t in b.column("text").to_pylist())
+
+    class Rows:
+        columns, schema, sparkSession = ["doc_id", "text"], None, spark
+
+        def mapInArrow(self, f, schema):
+            return f
+
+    parts = list(sx.redact(Rows())(iter([batch])))
+    assert all(size(p) <= 2 << 20 for p in parts if p.num_rows > 1) and len(parts) > 3
+    out = pa.Table.from_batches(parts)
+    assert out.column("doc_id").to_pylist() == list(range(len(texts)))
+    assert out.column("text").to_pylist() == [sx.masked(t, sx.find_secrets(t)) for t in texts]
