@@ -239,3 +239,30 @@ def test_negation_scopes_and_modifiers(spark):
     assert [tuple(x) for x in pairs[0].k] == [(0, "a", "1"), (2, "two words", "x: y")] and not pairs[1].k and not pairs[2].k
     sig = spark.createDataFrame([("max 3 days therefor 2 days",)], "t string").select(K.sig("t").alias("s")).first().s
     assert sig.duration_days is None
+
+
+def test_links_are_added_up_for_many_sets_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    draw = lambda n, low, high: [np.unique(rng.integers(low, high, rng.integers(1, 500))).astype(np.uint32) for _ in range(n)]
+    left, right, far = draw(150, 0, 400), draw(300, 0, 400), draw(150, 390, 800)
+    ids = rng.permutation(1000)
+    words = []
+    count = linking.bit_counts
+    monkeypatch.setattr(linking, "bit_counts", lambda rows, planes: words.append(rows.size) or count(rows, planes))
+    large = linking._Bits(linking._Sets.from_bytes(linking._Sets.of(ids[150:450], right).to_bytes()))
+    for cells in (1 << 18, 3000, 200):
+        monkeypatch.setattr(linking, "CELLS", cells)
+        for sets in (left, far):
+            words.clear()
+            small = linking._Sets.of(ids[:150], sets)
+            got = {}
+            for found in linking._links(small, large, 0.6):
+                i, j, shared = linking._pairs(small, large, found)
+                got |= {(int(small.ids[a]), int(large.ids.ravel()[b])): int(n) for a, b, n in zip(i, j, shared)}
+            want = {}
+            for a, s in zip(ids[:150].tolist(), sets):
+                for b, t in zip(ids[150:450].tolist(), right):
+                    if b > a and len(t) > len(s) and (k := len(np.intersect1d(s, t))) / len(s) >= 0.6:
+                        want[a, b] = k
+            assert got == want and (sets is far or len(want) > 1000)
+            assert sum(words) * 64 < sum(map(len, sets)) * len(right) * (2 if sets is left else 0.2)
