@@ -266,3 +266,31 @@ def test_links_are_added_up_for_many_sets_at_once(spark, monkeypatch):
                         want[a, b] = k
             assert got == want and (sets is far or len(want) > 1000)
             assert sum(words) * 64 < sum(map(len, sets)) * len(right) * (2 if sets is left else 0.2)
+
+
+def test_links_of_many_blocks_agree_with_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(linking, "TILE", 32)
+    monkeypatch.setattr(linking, "BLOCKS_HELD", 2)
+    rng = random.Random(7)
+    words = [["".join(rng.choices(letters, k=rng.randrange(2, 8))) for _ in range(60)] for letters in ("abcde", "vwxyz")]
+    texts = [" ".join(rng.choices(words[k % 2], k=rng.choice((1, 3, 40, 300)))) for k in range(150)]
+    texts += [texts[5] + " \u0130\u212a.", texts[5] + "  i k", None, "", "!", texts[7].upper(), texts[9][:-1] + "\u00e9", "\u00e9"]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = {r.doc_id: r.t for r in docs.select("doc_id", linking.normalized("text").alias("t")).collect() if r.t is not None}
+    sets = {i: {t[k : k + 5] for k in range(max(len(t) - 4, 1))} for i, t in held.items()}
+    want, counts = {}, {}
+    heads = {t: min(i for i in held if held[i] == t) for t in held.values()}
+    for a in sets:
+        for b in sets:
+            k, na, nb = len(sets[a] & sets[b]), len(sets[a]), len(sets[b])
+            amends = a < b and nb > na and k / na >= 0.6
+            if a < b and (amends or k / (na + nb - k) >= 0.92):
+                want[a, b] = (k, na, nb, "amendment" if amends else "near_duplicate")
+            if amends and heads[held[a]] == a and heads[held[b]] == b:
+                for i, at in ((b, 0), (a, 1)):
+                    counts.setdefault(i, [0, 0])[at] += 1
+    got = linking.version_pairs(docs).collect()
+    assert len(got) == len(want) > 500 and {(r.a, r.b): (r.shared, r.size_a, r.size_b, r.relation) for r in got} == want
+    got = {r.doc_id: (r.class_id, r.n_amends, r.n_amended) for r in linking.amendment_counts(docs).collect()}
+    assert got == {i: (heads[t], *counts.get(heads[t], (0, 0))) for i, t in held.items()}
